@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import digest, mixing, tokenstore
+from lexloom.llm import digest, langid, mixing, pieces, tokenstore
 from lexloom.llm.common import Scratch
 
 
@@ -20,6 +20,19 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def piece_model() -> bytes:
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_documents(spark, sf_dir), piece_model())
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "tokens").path("store")
     tokenstore.write(_documents(spark, sf_dir), store, tokenizer_file("word_bpe_49k.json"))
@@ -35,6 +48,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_token_store": op7_token_store,
     "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
