@@ -71,5 +71,6 @@ def running_sum(table: DataFrame, group: list[str], order: list[Column], bucket:
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
     inner = Window.partitionBy(*keys, F.col(cut)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = table.withColumn(part, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, on)
+    # The hint keeps Spark from sending either side, which grows with the data, to every executor.
+    out = table.withColumn(part, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums.hint("merge"), on)
     return out.withColumn(name, F.col(part) + F.col(before)).drop(cut, part, before, "__cut", *[f"__{g}" for g in group])

@@ -13,6 +13,8 @@ without words are taken 0 times. Repeated rows are separate documents. An empty
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,20 +59,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
     """slot, source, number: which block of which source each slot of the mix takes, slots from 0."""
     spark = goal.sparkSession
-    ends = goal.select("source", "rank", "target", F.sum("target").over(Window.orderBy("rank")).alias("upto"), F.sum("target").over(Window.partitionBy()).alias("all"))
+    ends = goal.select("source", "rank", F.sum("target").over(Window.orderBy("rank")).alias("upto"))
     # One row: the sources are few, their bounds are one array; a slot finds its source by counting the bounds it passes.
-    bounds = ends.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "upto"))), lambda x: F.struct(x["source"].alias("source"), x["upto"].alias("upto"))).alias("ends"), F.max("all").alias("all"))
-    slots = bounds.select("ends", "all", F.ceil(F.coalesce("all", F.lit(0.0)) / block).cast("long").alias("slots"))
-    # Slots are dealt in runs of 2**16; a run's slots are made where the run is.
-    run = 1 << 16
-    runs = slots.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))).alias("run"))
-    runs = runs.repartition(F.col("run"))
-    dealt = runs.select("ends", "all", F.explode(F.sequence(F.col("run") * run, F.least(F.col("slots"), (F.col("run") + 1) * run) - 1)).alias("slot"))
+    bounds = ends.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "upto"))), lambda x: F.struct(x["source"].alias("source"), x["upto"].alias("upto"))).alias("ends"), F.max("upto").alias("all"))
+    slots = math.ceil((bounds.first()["all"] or 0.0) / block)
+    dealt = spark.range(slots).withColumnRenamed("id", "slot").crossJoin(F.broadcast(bounds))
     point = (F.col("slot").cast("double") + 0.5) * F.lit(GOLDEN)
     dealt = dealt.withColumn("point", (point - F.floor(point)) * F.col("all"))
     passed = F.size(F.filter("ends", lambda x: x["upto"] <= F.col("point")))
     dealt = dealt.select("slot", F.element_at("ends", F.least(passed + 1, F.size("ends"))).getField("source").alias("source"))
-    return running_sum(dealt, ["source"], [F.col("slot")], F.floor(F.col("slot") / run), F.lit(1), "number")
+    return running_sum(dealt, ["source"], [F.col("slot")], F.shiftright("slot", 16), F.lit(1), "number")
 
 
 def stream(sizes: DataFrame, seed: str = "mix") -> DataFrame:
@@ -98,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     both = both.withColumn("first", F.col("start") + F.col("copy") * F.col("__all"))
     both = both.withColumn("number", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))))
     cut = plan.select(F.col("slot"), F.col("source").alias("__source"), F.col("number").alias("__number"))
-    parts = both.join(cut, (F.col("number") == F.col("__number")) & F.col("source").eqNullSafe(F.col("__source")))
+    parts = both.join(cut.hint("merge"), (F.col("number") == F.col("__number")) & F.col("source").eqNullSafe(F.col("__source")))
     low, high = F.greatest("first", F.col("number") * block), F.least(F.col("first") + F.col("size"), (F.col("number") + 1) * block)
     return placed, goal, parts.select("slot", "source", "doc_id", "start", "copy", (low - F.col("first")).alias("offset"), (high - low).alias("words"))
 
@@ -110,5 +108,5 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     sums = parts.groupBy("source", "start").agg(F.sum("words").alias("taken")).select(F.col("source").alias("__source"), F.col("start").alias("__start"), "taken")
     out = placed.join(goal.select(F.col("source").alias("__goal"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__goal")))
     mine = F.col("source").eqNullSafe(F.col("__source")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0)
-    out = out.join(sums, mine, "left")
+    out = out.join(sums.hint("merge"), mine, "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "start")
