@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+#: Bits of a key filter: 2 MB, however many keys there are.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit set for each hexadecimal key, by its first digits. Of bounded size; a full filter lets everything pass."""
+    place = F.pmod(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), F.lit(bits))
+    found = keys.select(place.alias("place")).groupBy(F.shiftright("place", 5).alias("word"))
+    found = found.agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 as int)))").alias("mask")).toPandas()
+    out = np.zeros(bits >> 5, np.uint32)
+    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_filter(bits: np.ndarray, key: str) -> bool:
+    place = int(key[:12], 16) % (32 * len(bits))
+    return bool(int(bits[place >> 5]) >> (place & 31) & 1)
+
+
 def running_sum(table: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, name: str) -> DataFrame:
     """Adds the sum of value over all earlier rows of the group, without bringing a whole group to one task.
 

@@ -14,7 +14,6 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -22,10 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, slices, sources
-
-#: Bits of the filter by which texts of repeated digests are picked out; it is all that goes to the driver.
-FILTER_BITS = 1 << 24
+from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources
 
 
 def canonical(text: str | None) -> bytes:
@@ -99,20 +95,9 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _RESULT.split(", ")])
 
 
-def _filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit set for each hexadecimal key, by its first digits: of bounded size however many keys there are."""
-    place = F.pmod(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), F.lit(bits))
-    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 5).alias("word"))
-    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 as int)))").alias("mask"))
-    found = words.toPandas()
-    out = np.zeros(bits >> 5, np.uint32)
-    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
 def collisions(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """key: the digests that texts of different canonical bytes share; repeated has the digests of two texts or more."""
-    bits = _filter(repeated)
+    bits = bit_filter(repeated)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
@@ -121,8 +106,7 @@ def collisions(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 plain = canonical(text)
                 key = xxhash.xxh3_128_hexdigest(plain)
-                place = int(key[:12], 16) % FILTER_BITS
-                if bits[place >> 5] >> (place & 31) & 1:
+                if in_filter(bits, key):
                     keys.append(key)
                     packed.append(press.compress(plain))  # equal if and only if the bytes are
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(packed, pa.binary())], ["key", "packed"])
@@ -157,7 +141,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def resolve(docs: DataFrame, every: DataFrame, clash: DataFrame) -> DataFrame:
     """Tells apart texts of the digests in clash by a SHA-256 digest of their canonical bytes."""
-    bits = _filter(clash)
+    bits = bit_filter(clash)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -165,8 +149,7 @@ def resolve(docs: DataFrame, every: DataFrame, clash: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 plain = canonical(text)
                 key = xxhash.xxh3_128_hexdigest(plain)
-                place = int(key[:12], 16) % FILTER_BITS
-                if bits[place >> 5] >> (place & 31) & 1:
+                if in_filter(bits, key):
                     rows.append((doc_id, len(text or ""), key, hashlib.sha256(plain).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["id", "chars", "key", "more"])
