@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import digest, langid, minhash, mixing, pieces, tokenstore
+from lexloom.llm import digest, hamming, langid, minhash, mixing, pieces, templates, tokenstore
 from lexloom.llm.common import Scratch
 
 
@@ -29,6 +29,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), n=2)
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.digest(_documents(spark, sf_dir))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id as id", "embedding as vector")
+    return hamming.top_k(vectors, vectors.where("id % 20 = 0"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -53,6 +62,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_line_templates": op2_line_templates,
+    "op3_top_k": op3_top_k,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_store": op7_token_store,
@@ -61,6 +72,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_top_k": """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+         list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (v.embedding[i] > 0))::INTEGER))::INTEGER AS distance
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT * FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank, neighbor_id, distance FROM pairs)
+WHERE rank <= 10
+""",
     "op10_mixing": """
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
