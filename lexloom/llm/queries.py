@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import digest, hamming, langid, minhash, mixing, pieces, templates, tokenstore
+from lexloom.llm import digest, hamming, langid, minhash, mixing, pieces, substring, templates, tokenstore
 from lexloom.llm.common import Scratch
 
 
@@ -42,6 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_documents(spark, sf_dir), piece_model())
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_templates": op2_line_templates,
     "op3_top_k": op3_top_k,
     "op4_language_id": op4_language_id,
+    "op5_substring": op5_substring,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_store": op7_token_store,
     "op8_fingerprints": op8_fingerprints,
