@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -29,7 +30,7 @@ from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources
 LAST = (1 << 63) - 1
 #: Anchor entries that a task holds before it sends them; bytes of text for each bucket.
 HELD, BUCKET = 1_000_000, 32 << 20
-#: An anchor in more than so many tasks' entries and documents is hot.
+#: An anchor that more documents have is hot.
 HOT = 4096
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -101,6 +102,20 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of not more than so many bytes in a column, or of one row."""
+    for batch in slices(batches):
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = total = 0
+        for k, n in enumerate(sizes.tolist()):
+            if total and total + n > limit:
+                yield batch.slice(start, k - start)
+                start, total = k, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def batch_of(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.values())], list(schema))
@@ -139,9 +154,9 @@ def _scan(kind: Kind, buckets: int):
             rows = []
             several = np.repeat(count, count) > 1
             by = np.argsort(at[several], kind="stable")
-            mine, values, counts = at[several][by], value[several][by], np.repeat(count, count)[several][by]
+            mine, values = at[several][by], value[several][by]
             for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(mine)) + 1) if len(mine) else []:
-                rows.append((1, int(mine[part[0]]), None, None, None, None, None, pack(values[part], (counts[part] > HOT).astype(np.uint8))))
+                rows.append((1, int(mine[part[0]]), None, None, None, None, None, pack(values[part])))
             value, at, count = value[first], np.where(count > 1, -1, at[first] - base), np.minimum(count, HOT + 1)
             bucket = (value % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")  # within a bucket the anchors stay sorted
@@ -151,7 +166,7 @@ def _scan(kind: Kind, buckets: int):
             for k in range(0, len(rows), 4096):
                 yield batch_of(rows[k : k + 4096], _SCAN)
 
-        for batch in slices(batches):
+        for batch in by_size(batches, 1):
             units, sizes, plain = kind.units(batch.column(1).to_pylist())
             rows = []
             for k, (doc, size, data) in enumerate(zip(batch.column(0).to_pylist(), sizes.tolist(), plain)):
@@ -175,7 +190,7 @@ _FOUND = {"row": pa.int64(), "packed": pa.binary()}
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket's entries, those whose anchor another entry or document has, packed by row."""
+    """Of a bucket's entries, those whose anchor another entry or document has, packed by row. Row -1: hot anchors."""
     values, rows, counts = [], [], []
     for base, data in zip(table.column("row").to_pylist(), table.column("packed").to_pylist()):
         v, at, n = unpack(data, "u8", "i4", "i4")
@@ -189,17 +204,24 @@ def _meet(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(first, len(value)))
     total = np.repeat(np.add.reduceat(count, first), size)
     on = (total > 1) & (at >= 0)
-    value, at, total = value[on], at[on], total[on]
+    hot = value[first][np.add.reduceat(count, first) > HOT]
+    value, at = value[on], at[on]
     order = np.argsort(at, kind="stable")
-    out = []
+    out = [(-1, pack(hot))] if len(hot) else []
     for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
-        out.append((int(at[part[0]]), pack(value[part], (total[part] > HOT).astype(np.uint8))))
+        out.append((int(at[part[0]]), pack(value[part])))
     return pa.Table.from_batches([batch_of(out, _FOUND)])
 
 
-def candidates(docs: DataFrame, kind: Kind, kept: Scratch) -> tuple[DataFrame, DataFrame]:
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([f"{v:012x}" for v in unpack(data, "u8")[0].tolist()], pa.string())], ["key"])
+
+
+def candidates(docs: DataFrame, kind: Kind, kept: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """All documents (doc, tag, n, sha, least: the least doc of the same units), and those that may share a window
-    with another text (doc, tag, packed: lists of the anchors that repeat)."""
+    with another text (doc, tag, packed: lists of the anchors that repeat), and a filter that has all hot anchors."""
     plain = sources(docs, "doc_id", "text")
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     scan = kept.save(plain.mapInArrow(_scan(kind, size // BUCKET + 1), SCAN), "scan")
@@ -207,12 +229,14 @@ def candidates(docs: DataFrame, kind: Kind, kept: Scratch) -> tuple[DataFrame, D
     least = every.groupBy("sha").agg(F.min("doc").alias("least"))
     every = kept.save(every.join(least.hint("merge"), "sha"), "every")
     met = scan.where("kind = 2").select("bucket", "row", "packed").groupBy("bucket").applyInArrow(_meet, "row long, packed binary")
+    met = kept.save(met, "met")
+    hot = bit_filter(met.where("row = -1").select("packed").mapInArrow(_values, "key string"))
     found = scan.where("kind = 1").select("row", "packed").unionByName(met)
     own = every.where(F.col("doc") == F.col("least")).where(F.col("n") >= kind.span).select("row", "doc", "tag")
     shared = found.join(own.hint("merge"), "row").groupBy("doc", "tag").agg(F.collect_list("packed").alias("packed"))
     shared = kept.save(shared, "shared")
     kept.drop("scan")
-    return every.drop("row"), shared
+    return every.drop("row"), shared, hot
 
 
 def with_text(docs: DataFrame, kind: Kind, table: DataFrame) -> DataFrame:
@@ -222,7 +246,7 @@ def with_text(docs: DataFrame, kind: Kind, table: DataFrame) -> DataFrame:
 
     def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in slices(batches):
+        for batch in by_size(batches, 1):
             texts = batch.column(1).to_pylist()
             docs, tagged, packed = [], [], []
             for doc, text, data in zip(batch.column(0).to_pylist(), texts, kind.units(texts)[2]):
@@ -246,29 +270,20 @@ def texts_of(column: pa.Array) -> list[str]:
     return [unpress.decompress(x).decode() for x in column.to_pylist()]
 
 
-def known(packed: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text its anchors that repeat, sorted, and which of them are hot."""
-    values, hot = [], []
-    for parts in packed:
-        got = [unpack(p, "u8", "u1") for p in parts]
-        v, h = [np.concatenate(x) for x in zip(*got)]
-        order = np.argsort(v, kind="stable")
-        values.append(v[order])
-        hot.append(h[order])
-    return values, hot
+def known(packed: list[list[bytes]]) -> list[np.ndarray]:
+    """For each text its anchors that repeat, sorted."""
+    return [np.sort(np.concatenate([unpack(p, "u8")[0] for p in parts])) for parts in packed]
 
 
-def marked(text: np.ndarray, value: np.ndarray, values: list[np.ndarray], hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows have an anchor that repeats, and which a hot one."""
-    on, warm = np.zeros(len(text), bool), np.zeros(len(text), bool)
+def marked(text: np.ndarray, value: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """Which windows have an anchor that repeats."""
+    on = np.zeros(len(text), bool)
     starts = np.searchsorted(text, np.arange(len(values) + 1))
-    for k, (v, h) in enumerate(zip(values, hot)):
+    for k, v in enumerate(values):
         a, b = starts[k], starts[k + 1]
         if a < b and len(v):
-            at = np.minimum(np.searchsorted(v, value[a:b]), len(v) - 1)
-            on[a:b] = v[at] == value[a:b]
-            warm[a:b] = on[a:b] & (h[at] > 0)
-    return on, warm
+            on[a:b] = v[np.minimum(np.searchsorted(v, value[a:b]), len(v) - 1)] == value[a:b]
+    return on
 
 
 def covered(places: np.ndarray, span: int, n: int) -> np.ndarray:

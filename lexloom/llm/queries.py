@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import digest, hamming, langid, minhash, mixing, pieces, substring, templates, tokenstore
+from lexloom.llm import digest, hamming, langid, minhash, mixing, pieces, substring, suffix, templates, tokenstore
 from lexloom.llm.common import Scratch
 
 
@@ -60,6 +60,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(_documents(spark, sf_dir))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(_documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir)).drop("source", "start")
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_store": op7_token_store,
     "op8_fingerprints": op8_fingerprints,
+    "op9_suffix_array": op9_suffix_array,
     "op10_mixing": op10_mixing,
 }
 

@@ -82,11 +82,11 @@ def _windows(kind: Kind, buckets: int):
             for k in range(0, len(rows), 2048):
                 yield anchors.batch_of(rows[k : k + 2048], _PLACES)
 
-        for batch in slices(batches):
+        for batch in anchors.by_size(batches, 2, 1 << 19):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             units, sizes, _ = kind.units(anchors.texts_of(batch.column(2)))
             place, text, value = kind.anchors(units, sizes)
-            on, _ = anchors.marked(text, value, *anchors.known(batch.column(3).to_pylist()))
+            on = anchors.marked(text, value, anchors.known(batch.column(3).to_pylist()))
             half = anchors.windows(units, kind.gram)
             place, text = place[on], text[on]
             left, right = half[place], half[place + kind.span - kind.gram]
@@ -133,7 +133,7 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     spark = docs.sparkSession
     kept = Scratch(spark, "substring")
     kind = Kind(Words(), span, span // 2)
-    every, shared = anchors.candidates(docs, kind, kept)
+    every, shared, _ = anchors.candidates(docs, kind, kept)
     size = every.agg(F.sum("n")).first()[0] or 0
     held = anchors.with_text(docs, kind, shared).select("doc", "tag", "text", "packed")
     found = kept.save(held.mapInArrow(_windows(kind, size // (8 << 20) + 1), PLACES), "windows")
