@@ -29,7 +29,7 @@ from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources
 
 LAST = (1 << 63) - 1
 #: Anchor entries that a task holds before it sends them; bytes of text for each bucket.
-HELD, BUCKET = 1_000_000, 32 << 20
+HELD, BUCKET = 500_000, 16 << 20
 #: An anchor that more documents have is hot.
 HOT = 4096
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -102,7 +102,7 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Smaller batches of not more than so many bytes in a column, or of one row."""
     for batch in slices(batches):
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 words_of = re.compile(WORD).findall
-SPACE = " \t\n\x0b\x0c\r"
+#: Most rows of an Arrow batch.
+BATCH = 1000
 
 
 def sources(table: DataFrame, *names: str) -> DataFrame:
@@ -33,6 +34,9 @@ class Scratch:
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
             top = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        # Rows hold whole texts: fewer of them at a time keep what a worker holds small.
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
         self.spark, self.top = spark, f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -82,7 +82,7 @@ def _windows(kind: Kind, buckets: int):
             for k in range(0, len(rows), 2048):
                 yield anchors.batch_of(rows[k : k + 2048], _PLACES)
 
-        for batch in anchors.by_size(batches, 2, 1 << 19):
+        for batch in anchors.by_size(batches, 2, 1 << 17):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             units, sizes, _ = kind.units(anchors.texts_of(batch.column(2)))
             place, text, value = kind.anchors(units, sizes)

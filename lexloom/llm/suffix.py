@@ -35,7 +35,7 @@ REACH = SPAN - GRAM
 #: A region as one key: what follows, its length, what precedes (backwards), its length.
 WIDTH = SPAN + 1 + REACH + 1
 #: Regions that a task holds before it sends them.
-HELD = 200_000
+HELD = 100_000
 _TABLE = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64)
 
 
@@ -199,7 +199,7 @@ def _regions(buckets: int, hot: np.ndarray):
             for k in range(0, len(rows), 2048):
                 yield anchors.batch_of(rows[k : k + 2048], _REGIONS)
 
-        for batch in anchors.by_size(batches, 2, 1 << 19):
+        for batch in anchors.by_size(batches, 2, 1 << 17):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             hashed, sizes, plain = units(anchors.texts_of(batch.column(2)))
             place, text, _ = KIND.anchors(hashed, sizes)
