@@ -1 +1,15 @@
-"""Part of lexloom."""
+"""Named queries over the tables, for Spark and as SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from lexloom.plans import queries_core, registry  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    return registry.spark_queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return registry.duck_sql()
