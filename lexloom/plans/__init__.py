@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexloom.plans import queries_core, registry  # noqa: F401
+from lexloom.plans import queries_core, queries_retrieval, queries_semantic, registry  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -27,6 +27,16 @@ for _name, (_columns, _rows) in lexicon.TABLES.items():
     table(_name, lexicon.values(_rows, _columns))(lambda m, c=_columns, r=_rows: m.session.createDataFrame(r, c))
 
 
+def derived(name: str):
+    """Register a table whose text both engines take."""
+
+    def add(make):
+        SPARK[name], DUCK[name] = lambda m: m.session.sql(make(m)), make
+        return make
+
+    return add
+
+
 def fixture(name: str, columns: str, rows: list[tuple]) -> None:
     """A small table of literals in both engines."""
     names = [c.split()[0] for c in columns.split(", ")]
