@@ -9,10 +9,13 @@ and ten mantissa bits, 16 bits in all. Equal sets are one node from here on, so
 in a band of ROWS registers are candidates. At similarity 0.8 a pair misses all bands with probability
 (1 - 0.8**5)**32 = 3e-6.
 
-Candidates are compared without all pairs of a band's group: in round t each group names up to 2**t pivots, which are
-compared with those members that no link found so far puts in the same class; a pivot then leaves its group. Groups
-are done when one class or one member is left, so no pair between classes goes uncompared. Before the exact test the
-registers' agreement, corrected for chance collisions, drops pairs six standard deviations under the threshold.
+Candidates are found without all pairs of a band's group. Each group has a pivot, its member with the most candidates;
+every member is compared with it. A member that is linked to the pivot needs no more. For the others let D be what a
+set and the pivot do not share: two sets of one pivot, one of them not linked to it, can only be linked if their D have
+at least o = (|D1| + |D2| - r (|A| + |B|)) / 2 > 0 elements in common, with r = (100 - s) / (100 + s). So they must
+share one of the first |D| - o + 1 elements of D in some fixed order, and only pairs that do are compared. What copies
+of one text have in common with it takes no part. Before the exact test the registers' agreement, corrected for chance
+collisions, drops pairs six standard deviations under the threshold.
 
 Null doc_ids make rows like others, but name no class unless all of a class are null. Repeated rows are each returned.
 """
@@ -143,74 +146,81 @@ def _near(floor: float):
     return run
 
 
+def is_linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep_a, keep_b = [], []
-            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
-                if 100 * both >= percent * (len(one) + len(two) - both):
-                    keep_a.append(a)
-                    keep_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.string()), pa.array(keep_b, pa.string())], ["a", "b"])
+            keep = [(a, b) for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]) if is_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.string())], ["a", "b"])
+
+    return run
+
+
+def prefix(own: np.ndarray, pivot: np.ndarray, linked: bool, percent: int) -> np.ndarray:
+    """First elements of what the set and the pivot do not share; what the pivot lacks comes first, as it is rarer."""
+    more, less = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
+    n, r = len(more) + len(less), (100 - percent) / (100 + percent)
+    # Least overlap with any set that can be linked to this one: a set linked to the pivot meets only sets that are not.
+    floor = n + r * (len(pivot) - len(own)) if linked else n - r * (len(own) + len(pivot))
+    overlap = max(1, int(np.ceil(floor / 2 - 1e-9)))
+    return np.concatenate([more, less])[: max(0, n - overlap + 1)]
+
+
+def _against_pivot(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            a, b, x, y = [c.to_pylist() for c in batch.columns]
+            linked, first = [], []
+            for one, two in zip(x, y):
+                pivot, own = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                linked.append(is_linked(pivot, own, percent))
+                first.append(prefix(own, pivot, linked[-1], percent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64()))], ["pivot", "key", "linked", "first"])
 
     return run
 
 
 def links(docs: DataFrame, sketches: DataFrame, kept: Scratch, n: int, percent: int) -> DataFrame:
     """a, b: links between sets (by key) that connect the same sets as all links do."""
-    spark = docs.sparkSession
     nodes = sketches.where("n_shingles > 0").groupBy("key").agg(F.first("bands").alias("bands"))
     held = kept.save(nodes.select("key", F.explode("bands").alias("band")), "bands")
-    shared = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = kept.save(held.join(shared.hint("merge"), "band"), "members0")
+    shared = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = kept.save(held.join(shared.hint("merge"), "band"), "members")
     kept.drop("bands")
-    keys = members.select("key").distinct()
-    bits = bit_filter(keys)
+    degree = kept.save(members.groupBy("key").agg(F.sum("n").alias("degree")), "degree")
+    bits = bit_filter(degree.select("key"))
     features = sources(docs, "text").mapInArrow(_features(n, bits), "key string, regs binary, shingles binary")
-    features = features.groupBy("key").agg(F.first("regs").alias("regs"), F.first("shingles").alias("shingles")).join(keys.hint("merge"), "key", "left_semi")
+    features = features.groupBy("key").agg(F.first("regs").alias("regs"), F.first("shingles").alias("shingles")).join(degree.select("key").hint("merge"), "key", "left_semi")
     features = kept.save(features, "features")
     sketched, sets = features.select("key", "regs"), features.select("key", "shingles")
-    labels, found = kept.save(keys.select("key", F.col("key").alias("label")), "labels0"), None
+
+    def joined(pairs: DataFrame, a: str, b: str, table: DataFrame, value: str) -> DataFrame:
+        for side in (a, b):
+            pairs = pairs.join(table.select(F.col("key").alias(side), F.col(value).alias(f"{value}_{side}")).hint("merge"), side)
+        return pairs.select(a, b, f"{value}_{a}", f"{value}_{b}")
+
+    ranked = members.join(degree.hint("merge"), "key")
+    pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("p")).select("band", F.col("p.key").alias("pivot"))
+    meet = members.select("band", "key").join(pivots.hint("merge"), "band").where("key <> pivot").select("pivot", "key").distinct()
+    done = joined(meet, "pivot", "key", sets, "shingles").mapInArrow(_against_pivot(percent), "pivot string, key string, linked boolean, first array<long>")
+    done = kept.save(done, "pivots")
+    apart = done.where("not linked").select("pivot").distinct()
+    rest = done.join(apart.hint("merge"), "pivot", "left_semi").select("pivot", "key", "linked", F.explode("first").alias("element"))
+    rest = kept.save(rest, "prefixes")
+    one = rest.where("not linked").select("pivot", "element", F.col("key").alias("one"))
+    two = rest.select("pivot", "element", F.col("key").alias("two"), "linked")
+    pairs = one.join(two.hint("merge"), ["pivot", "element"]).where("one <> two and (linked or one < two)")
+    pairs = kept.save(pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "pairs")
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    slice_of = F.xxhash64("key")
-    turn = 0
-    while True:
-        now = members.join(labels.hint("merge"), "key")
-        open_bands = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        now = kept.save(now.join(open_bands.hint("merge"), "band"), f"open{turn}")
-        if now.isEmpty():
-            break
-        part = F.pmod(slice_of, F.lit(1 << min(turn, 20))).alias("part")
-        pivots = now.groupBy("band", part).agg(F.min(F.struct("key", "label")).alias("p")).select("band", F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        pivots = kept.save(pivots, f"pivots{turn}")
-        pairs = now.join(pivots.hint("merge"), "band").where("label <> pivot_label")
-        pairs = pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(sketched.select(F.col("key").alias(side), F.col("regs").alias(f"regs_{side}")).hint("merge"), side)
-        near = kept.save(pairs.select("a", "b", "regs_a", "regs_b").mapInArrow(_near(floor), "a string, b string"), f"near{turn}")
-        for side in ("a", "b"):
-            near = near.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"set_{side}")).hint("merge"), side)
-        new = kept.save(near.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a string, b string"), f"links{turn}")
-        found = new if found is None else found.unionByName(new)
-        # Labels only save comparisons; the classes come from all links at the end. A link's ends take the lesser label,
-        # and a label that gave way takes its follower along.
-        ends = new.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")).hint("merge"), "a").join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")).hint("merge"), "b")
-        moved = ends.where("la <> lb").select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to")).groupBy("label").agg(F.min("to").alias("to"))
-        moved = kept.save(moved, f"moved{turn}")
-        hop = moved.select(F.col("label").alias("to"), F.col("to").alias("next"))
-        moved = moved.join(hop.hint("merge"), "to", "left").select("label", F.coalesce("next", "to").alias("to"))
-        labels = kept.save(labels.join(moved.hint("merge"), "label", "left").select("key", F.coalesce("to", "label").alias("label")), f"labels{turn + 1}")
-        gone = pivots.select("band", F.col("pivot").alias("key"))
-        left = now.select("band", "key").join(gone.hint("merge"), ["band", "key"], "left_anti")
-        members = kept.save(left, f"members{turn + 1}")
-        turn += 1
-    if found is None:
-        return spark.createDataFrame([], "a string, b string")
-    return found
+    near = kept.save(joined(pairs, "a", "b", sketched, "regs").mapInArrow(_near(floor), "a string, b string"), "near")
+    found = joined(near, "a", "b", sets, "shingles").mapInArrow(_linked(percent), "a string, b string")
+    return kept.save(done.where("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b")).unionByName(found), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

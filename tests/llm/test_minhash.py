@@ -80,3 +80,23 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     assert got == {k: find(k) for a, b in edges if a != b for k in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_prefixes_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        pivot = rng.choice(400, int(rng.integers(1, 60)), replace=False).astype(np.uint64)
+        sets = []
+        for _ in range(8):
+            stay = pivot[rng.random(len(pivot)) < rng.uniform(0.6, 1.0)]
+            sets.append(np.unique(np.concatenate([stay, rng.choice(420, int(rng.integers(0, 8)), replace=False).astype(np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        pivot = np.sort(pivot)
+        on = [minhash.is_linked(pivot, s, percent) for s in sets]
+        first = [set(minhash.prefix(s, pivot, o, percent).tolist()) for s, o in zip(sets, on)]
+        for i in range(len(sets)):
+            for j in range(i):
+                if not (on[i] and on[j]) and minhash.is_linked(sets[i], sets[j], percent) and set(sets[i]) != set(sets[j]):
+                    if set(sets[i]) != set(pivot) and set(sets[j]) != set(pivot):
+                        assert first[i] & first[j]
