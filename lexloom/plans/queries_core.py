@@ -77,7 +77,7 @@ def _(m):
 
 @query("g_candidate_spans")
 def _(m):
-    return f"SELECT n, count(*) AS spans, count(DISTINCT key) AS keys, sum(e - s) AS points FROM {m.t('spans')} GROUP BY n"
+    return f"SELECT n, count(*) AS spans, count(DISTINCT key) AS keys, {m.big('sum(e - s)')} AS points FROM {m.t('spans')} GROUP BY n"
 
 
 @query("g_ngrams")
@@ -102,7 +102,7 @@ def _(m):
 
 @query("g_prose_sentences")
 def _(m):
-    return f"""SELECT doc_id, count(*) AS n, sum(length(trim(sentence))) AS points FROM {sentences(m)} AS x WHERE length(trim(sentence)) BETWEEN 20 AND 400 AND NOT {m.rx('sentence', '^#')} GROUP BY doc_id"""
+    return f"""SELECT doc_id, count(*) AS n, {m.big('sum(length(trim(sentence)))')} AS points FROM {sentences(m)} AS x WHERE length(trim(sentence)) BETWEEN 20 AND 400 AND NOT {m.rx('sentence', '^#')} GROUP BY doc_id"""
 
 
 def headings(m):
