@@ -13,8 +13,8 @@ Candidates are found without all pairs of a band's group. Each group has a pivot
 every member is compared with it. A member that is linked to the pivot needs no more. For the others let D be what a
 set and the pivot do not share: two sets of one pivot, one of them not linked to it, can only be linked if their D have
 at least o = (|D1| + |D2| - r (|A| + |B|)) / 2 > 0 elements in common, with r = (100 - s) / (100 + s). So they must
-share one of the first |D| - o + 1 elements of D in some fixed order, and only pairs that do are compared. What copies
-of one text have in common with it takes no part. Before the exact test the registers' agreement, corrected for chance
+share one of the first |D| - o + 1 elements of D, those first that fewer sets of the pivot have, with o or more elements
+of either D from there on, and only pairs that do are compared. What copies of one text have in common takes no part. Before the exact test the registers' agreement, corrected for chance
 collisions, drops pairs six standard deviations under the threshold.
 
 Null doc_ids make rows like others, but name no class unless all of a class are null. Repeated rows are each returned.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources
@@ -162,30 +162,46 @@ def _linked(percent: int):
     return run
 
 
-def prefix(own: np.ndarray, pivot: np.ndarray, linked: bool, percent: int) -> np.ndarray:
-    """First elements of what the set and the pivot do not share; what the pivot lacks comes first, as it is rarer."""
-    more, less = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
-    n, r = len(more) + len(less), (100 - percent) / (100 + percent)
-    # Least overlap with any set that can be linked to this one: a set linked to the pivot meets only sets that are not.
-    floor = n + r * (len(pivot) - len(own)) if linked else n - r * (len(own) + len(pivot))
+def prefix_size(own: int, pivot: int, apart: int, linked: bool, percent: int) -> int:
+    """How many of the elements that a set and its pivot do not share must be looked at.
+
+    The least overlap with any set that can be linked to this one: a set linked to the pivot meets only sets that are not.
+    """
+    r = (100 - percent) / (100 + percent)
+    floor = apart + r * (pivot - own) if linked else apart - r * (own + pivot)
     overlap = max(1, int(np.ceil(floor / 2 - 1e-9)))
-    return np.concatenate([more, less])[: max(0, n - overlap + 1)]
+    return max(0, apart - overlap + 1)
+
+
+_AGAINST = {"pivot": pa.string(), "key": pa.string(), "linked": pa.bool_(), "size": pa.int64(), "apart": pa.int64(), "first": pa.int64(), "elements": pa.list_(pa.int64())}
 
 
 def _against_pivot(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            a, b, x, y = [c.to_pylist() for c in batch.columns]
-            linked, first = [], []
-            for one, two in zip(x, y):
-                pivot, own = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                linked.append(is_linked(pivot, own, percent))
-                first.append(prefix(own, pivot, linked[-1], percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64()))], ["pivot", "key", "linked", "first"])
+            rows = []
+            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                pivot, own = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                apart, linked = np.setxor1d(pivot, own, assume_unique=True), is_linked(pivot, own, percent)
+                rows.append((a, b, linked, len(own), len(apart), prefix_size(len(own), len(pivot), len(apart), linked, percent), apart.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(_AGAINST), _AGAINST.values())], list(_AGAINST))
 
     return run
 
 
+def prefixes(rest: DataFrame, kept: Scratch) -> DataFrame:
+    """pivot, key, linked, size, apart, element, place: the first elements of each set, those that fewer sets have first.
+
+    Elements of one set alone make no pair; they only take the first places.
+    """
+    every = kept.save(rest.select("pivot", "key", "linked", "size", "apart", "first", F.explode("elements").alias("element")), "elements")
+    often = every.groupBy("pivot", "element").agg(F.count("*").alias("often")).where("often > 1")
+    every = every.join(often.hint("merge"), ["pivot", "element"])
+    own = Window.partitionBy("pivot", "key")
+    place = F.col("apart") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "element")) - 1
+    return every.withColumn("place", place).where("place < first").drop("first", "often")
+
+
 def links(docs: DataFrame, sketches: DataFrame, kept: Scratch, n: int, percent: int) -> DataFrame:
     """a, b: links between sets (by key) that connect the same sets as all links do."""
     nodes = sketches.where("n_shingles > 0").groupBy("key").agg(F.first("bands").alias("bands"))
@@ -208,14 +224,18 @@ def links(docs: DataFrame, sketches: DataFrame, kept: Scratch, n: int, percent:
     ranked = members.join(degree.hint("merge"), "key")
     pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("p")).select("band", F.col("p.key").alias("pivot"))
     meet = members.select("band", "key").join(pivots.hint("merge"), "band").where("key <> pivot").select("pivot", "key").distinct()
-    done = joined(meet, "pivot", "key", sets, "shingles").mapInArrow(_against_pivot(percent), "pivot string, key string, linked boolean, first array<long>")
+    done = joined(meet, "pivot", "key", sets, "shingles").mapInArrow(_against_pivot(percent), "pivot string, key string, linked boolean, size long, apart long, first long, elements array<long>")
     done = kept.save(done, "pivots")
     apart = done.where("not linked").select("pivot").distinct()
-    rest = done.join(apart.hint("merge"), "pivot", "left_semi").select("pivot", "key", "linked", F.explode("first").alias("element"))
-    rest = kept.save(rest, "prefixes")
-    one = rest.where("not linked").select("pivot", "element", F.col("key").alias("one"))
-    two = rest.select("pivot", "element", F.col("key").alias("two"), "linked")
-    pairs = one.join(two.hint("merge"), ["pivot", "element"]).where("one <> two and (linked or one < two)")
+    rest = kept.save(prefixes(done.join(apart.hint("merge"), "pivot", "left_semi"), kept), "prefixes")
+    one = rest.where("not linked").select("pivot", "element", *[F.col(c).alias(f"{c}_one") for c in ("key", "size", "apart", "place")])
+    two = rest.select("pivot", "element", "linked", *[F.col(c).alias(f"{c}_two") for c in ("key", "size", "apart", "place")])
+    # At the first element in common, what is left of either D must still hold the overlap that a link needs.
+    left = F.least(F.expr("apart_one - place_one"), F.expr("apart_two - place_two"))
+    enough = 2 * (100 + percent) * left >= (100 + percent) * F.expr("apart_one + apart_two") - (100 - percent) * F.expr("size_one + size_two")
+    alike = 100 * F.least("size_one", "size_two") >= percent * F.greatest("size_one", "size_two")
+    pairs = one.join(two.hint("merge"), ["pivot", "element"]).where("key_one <> key_two and (linked or key_one < key_two)").where(enough & alike)
+    pairs = pairs.select(F.col("key_one").alias("one"), F.col("key_two").alias("two"))
     pairs = kept.save(pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "pairs")
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
     near = kept.save(joined(pairs, "a", "b", sketched, "regs").mapInArrow(_near(floor), "a string, b string"), "near")
