@@ -304,3 +304,18 @@ def spots(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> list[tuple]:
     doc, tag, place = doc[order], tag[order], place[order]
     cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(tag) != 0)) + 1
     return [(int(doc[p[0]]), int(tag[p[0]]), place[p].astype("<i4").tobytes()) for p in np.split(np.arange(len(doc)), cuts)] if len(doc) else []
+
+
+def dealt(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Places packed by the part that gathers their documents."""
+    part = (mix(doc.view(np.uint64) ^ tag.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((place, tag, doc, part))
+    part, doc, tag, place = part[order], doc[order], tag[order], place[order].astype(np.int32)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return [(int(part[p[0]]), pack(doc[p], tag[p], place[p])) for p in np.split(np.arange(len(doc)), cuts)] if len(doc) else []
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """All places of a part's documents, one row for each document."""
+    parts = [unpack(x, "i8", "i8", "i4") for x in table.column("packed").to_pylist()]
+    return pa.Table.from_batches([batch_of(spots(*[np.concatenate(x) for x in zip(*parts)]), _SPOTS)])

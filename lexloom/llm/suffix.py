@@ -168,12 +168,14 @@ def merged(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes
         winner = now
 
 
-_REGIONS = {"kind": pa.int32(), "doc": pa.int64(), "tag": pa.int64(), "places": pa.binary(), "bucket": pa.int64(), "run": pa.binary(), "owners": pa.binary()}
-REGIONS = "kind int, doc long, tag long, places binary, bucket long, run binary, owners binary"
+_REGIONS = {"kind": pa.int32(), "part": pa.int64(), "packed": pa.binary(), "bucket": pa.int64(), "run": pa.binary(), "owners": pa.binary()}
+REGIONS = "kind int, part long, packed binary, bucket long, run binary, owners binary"
+_DEALT = {"part": pa.int64(), "packed": pa.binary()}
+DEALT = "part long, packed binary"
 
 
 def _regions(buckets: int, hot: np.ndarray):
-    """Rows of kind 1: places to remove, settled here. 2: a front-coded run for a bucket, and its regions' documents."""
+    """Rows of kind 1: places to remove, settled here, by part. 2: a front-coded run for a bucket, and its regions' documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -192,10 +194,10 @@ def _regions(buckets: int, hot: np.ndarray):
             # all windows of a region that a smaller document has too
             count = (key[gone, SPAN].astype(np.int64) + key[gone, WIDTH - 1] - 1) - SPAN + 1
             every = np.repeat(place[gone], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            rows = [(1, *s, None, None, None) for s in anchors.spots(np.repeat(doc[gone], count), np.repeat(tag[gone], count), every)]
+            rows = [(1, *s, None, None, None) for s in anchors.dealt(np.repeat(doc[gone], count), np.repeat(tag[gone], count), every, buckets)]
             bucket, key, doc, tag, place = [x[~gone] for x in (bucket, key, doc, tag, place)]
             for part in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
-                rows.append((2, None, None, None, int(bucket[part[0]]), front_coded(key[part]), anchors.pack(doc[part], tag[part], place[part].astype(np.int32))))
+                rows.append((2, None, None, int(bucket[part[0]]), front_coded(key[part]), anchors.pack(doc[part], tag[part], place[part].astype(np.int32))))
             for k in range(0, len(rows), 2048):
                 yield anchors.batch_of(rows[k : k + 2048], _REGIONS)
 
@@ -236,8 +238,17 @@ def classes(common: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(common < length)
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Of a bucket's regions, the windows that a smaller document has too."""
+def _merge(parts: int):
+    """Of a bucket's regions, the windows that a smaller document has too, packed by the part of their documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = anchors.dealt(*_later(table), parts)
+        return pa.Table.from_batches([anchors.batch_of(rows, _DEALT)])
+
+    return run
+
+
+def _later(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owners = [anchors.unpack(x, "i8", "i8", "i4") for x in table.column("owners").to_pylist()]
     start = np.cumsum([0, *(len(o[0]) for o in owners)])
     n = int(start[-1])
@@ -275,8 +286,8 @@ def _merge(table: pa.Table) -> pa.Table:
         new[1:] = code[1:] != code[:-1]
         later = on[doc[on] > doc[on[new]][np.cumsum(new) - 1]]
         gone.append((doc[later], tag[later], place[later] + before[later] - x))
-    rows = anchors.spots(*[np.concatenate(g) for g in zip(*gone)]) if gone else []
-    return pa.Table.from_batches([anchors.batch_of(rows, anchors._SPOTS)])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(g) for g in zip(*gone)) if gone else (none, none, none)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +310,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     every, repeats, hot = anchors.candidates(docs, KIND, kept)
     size = every.agg(F.sum("n")).first()[0] or 0
     held = anchors.with_text(docs, KIND, repeats).select("doc", "tag", "text", "packed")
-    found = kept.save(held.mapInArrow(_regions(size // anchors.BUCKET + 1, hot), REGIONS), "regions")
-    met = found.where("kind = 2").select("bucket", "run", "owners").groupBy("bucket").applyInArrow(_merge, anchors.SPOTS)
-    places = found.where("kind = 1").select("doc", "tag", "places").unionByName(met).groupBy("doc", "tag").agg(F.collect_list("places").alias("places"))
+    parts = size // anchors.BUCKET + 1
+    found = kept.save(held.mapInArrow(_regions(parts, hot), REGIONS), "regions")
+    met = found.where("kind = 2").select("bucket", "run", "owners").groupBy("bucket").applyInArrow(_merge(parts), DEALT)
+    places = found.where("kind = 1").select("part", "packed").unionByName(met).groupBy("part").applyInArrow(anchors.by_document, anchors.SPOTS)
+    places = places.select("doc", "tag", F.array("places").alias("places"))
     places = kept.save(places, "places")
     kept.drop("regions")
     edited = anchors.with_text(docs, KIND, places).select("doc", "tag", "text", "places").mapInArrow(_cut, "doc long, tag long, n_removed long, n_spans long, kept_sha256 string")
