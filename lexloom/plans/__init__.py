@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexloom.plans import queries_core, queries_mining, queries_retrieval, queries_semantic, registry  # noqa: F401
+from lexloom.plans import queries_core, queries_ledger, queries_mining, queries_retrieval, queries_semantic, queries_structure, registry  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
