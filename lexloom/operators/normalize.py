@@ -71,18 +71,28 @@ def candidates(runs: DataFrame, keys: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(keys), "key")
 
 
-def suppressed(found: DataFrame, segs: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """Candidates without those that lie inside a forbidden phrase of their concept and language."""
+def phrases_at(segs: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """f_doc, f_seg, f_concept, f_lang, f_s, f_e: where forbidden phrases stand; few, as most lines hold none."""
     phrases = forbidden.select(F.col("concept_id").alias("f_concept"), F.col("lang").alias("f_lang"), F.lower("phrase").alias("phrase"))
-    lines = segs.select("doc_id", "seg_no", F.lower("line").alias("lowered"))
-    near = found.join(F.broadcast(phrases), (F.col("concept_id") == F.col("f_concept")) & ((F.col("lang") == "shared") | (F.col("f_lang") == F.col("lang"))))
-    near = near.join(lines, ["doc_id", "seg_no"])
-    # Any occurrence over the match starts at most the difference of lengths before it.
-    slack = F.length("phrase") - (F.col("e") - F.col("s"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("s") - slack), F.col("s"))
-    inside = F.exists(starts, lambda p: F.substr("lowered", p + 1, F.length("phrase")) == F.col("phrase"))
-    hit = near.where(slack >= 0).where(inside).select("doc_id", "seg_no", "s", "e", "concept_id").distinct()
-    return found.join(hit, ["doc_id", "seg_no", "s", "e", "concept_id"], "left_anti")
+    near = segs.select("doc_id", "seg_no", F.lower("line").alias("lowered")).join(F.broadcast(phrases), F.contains("lowered", "phrase"))
+    places = F.filter(F.sequence(F.lit(1), F.length("lowered")), lambda p: F.substr("lowered", p, F.length("phrase")) == F.col("phrase"))
+    near = near.select("doc_id", "seg_no", "f_concept", "f_lang", F.length("phrase").alias("width"), F.explode(places).alias("p"))
+    return near.select(F.col("doc_id").alias("f_doc"), F.col("seg_no").alias("f_seg"), "f_concept", "f_lang", (F.col("p") - 1).alias("f_s"), (F.col("p") - 1 + F.col("width")).alias("f_e"))
+
+
+def inside(places: DataFrame) -> Column:
+    """Whether a candidate lies within a forbidden phrase of its concept and language."""
+    own = (F.col("seg_no") == F.col("f_seg")) & (F.col("concept_id") == F.col("f_concept")) & ((F.col("lang") == "shared") | (F.col("lang") == F.col("f_lang")))
+    return (F.col("doc_id") == F.col("f_doc")) & own & (F.col("f_s") <= F.col("s")) & (F.col("e") <= F.col("f_e"))
+
+
+def suppressed(found: DataFrame, segs: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Candidates without those that lie inside a forbidden phrase of their concept and language.
+
+    The join's one key is the document, by which the candidates are dealt already.
+    """
+    places = phrases_at(segs, forbidden)
+    return found.join(places, inside(places), "left_anti")
 
 
 def longest_first(found: DataFrame) -> DataFrame:

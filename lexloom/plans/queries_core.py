@@ -82,8 +82,8 @@ def _(m):
 
 @query("g_ngrams")
 def _(m):
-    return f"""SELECT key, n, count(*) AS freq FROM {m.t('spans')} WHERE n = 1 OR (split_part(key, ' ', 1) NOT IN (SELECT word FROM {m.t('stop_words')}) AND split_part(key, ' ', n) NOT IN (SELECT word FROM {m.t('stop_words')}))
-      GROUP BY key, n HAVING count(*) >= 3"""
+    grams = f"(SELECT key, n, count(*) AS freq FROM {m.t('spans')} GROUP BY key, n HAVING count(*) >= 3)"
+    return f"""SELECT g.key, g.n, g.freq FROM {grams} AS g LEFT JOIN {m.t('stop_words')} AS a ON a.word = split_part(g.key, ' ', 1) LEFT JOIN {m.t('stop_words')} AS b ON b.word = split_part(g.key, ' ', g.n) WHERE g.n = 1 OR (a.word IS NULL AND b.word IS NULL)"""
 
 
 SENTENCES = "trim(sentence)"
@@ -213,7 +213,7 @@ def _(m):
     return f"""SELECT v.doc_id, v.seg_no, v.s, v.concept_id, count(*) AS around, {m.all_of('t.key', 't.tok_no', ' ')} AS words
       FROM {m.t('events')} AS v JOIN {m.t('tokens')} AS b ON b.doc_id = v.doc_id AND b.seg_no = v.seg_no AND b.s = v.s
       JOIN {m.t('tokens')} AS t ON t.doc_id = v.doc_id AND t.seg_no = v.seg_no AND t.tok_no BETWEEN b.tok_no - 4 AND b.tok_no + 4 AND t.tok_no <> b.tok_no
-      WHERE v.concept_id IN ('core.with', 'core.for') AND t.key NOT IN (SELECT word FROM {m.t('stop_words')}) GROUP BY v.doc_id, v.seg_no, v.s, v.concept_id"""
+      WHERE t.key NOT IN (SELECT word FROM {m.t('stop_words')}) GROUP BY v.doc_id, v.seg_no, v.s, v.concept_id"""
 
 
 @query("g_compound")

@@ -24,7 +24,7 @@ def table(name: str, duck):
 
 
 for _name, (_columns, _rows) in lexicon.TABLES.items():
-    table(_name, lexicon.values(_rows, _columns))(lambda m, c=_columns, r=_rows: m.session.createDataFrame(r, c))
+    table(_name, lexicon.values(_rows, _columns))(lambda m, c=_columns, r=_rows: m.session.sql(lexicon.values(r, c)))
 
 
 def derived(name: str):
@@ -40,7 +40,8 @@ def derived(name: str):
 def fixture(name: str, columns: str, rows: list[tuple]) -> None:
     """A small table of literals in both engines."""
     names = [c.split()[0] for c in columns.split(", ")]
-    table(name, lexicon.values(rows, names))(lambda m: m.session.createDataFrame(rows, columns))
+    typed = ", ".join(f"cast({n} AS {kind}) AS {n}" for n, kind in (c.split() for c in columns.split(", ")))
+    table(name, lexicon.values(rows, names))(lambda m: m.session.sql(f"SELECT {typed} FROM ({lexicon.values(rows, names)})"))
 
 
 @table("segments", lambda m: """
@@ -93,9 +94,8 @@ SELECT DISTINCT f.doc_id, f.seg_no, f.s, f.e, f.concept_id FROM {m.t('found')} f
 JOIN {m.t('forbidden')} b ON f.concept_id = b.concept_id AND (f.lang = 'shared' OR b.lang = f.lang) JOIN {m.t('segments')} g ON f.doc_id = g.doc_id AND f.seg_no = g.seg_no
 WHERE len(list_filter(range(greatest(0, f.s - length(b.phrase) + (f.e - f.s)), f.s + 1), lambda p: substr(lower(g.line), (p + 1)::BIGINT, length(b.phrase)) = lower(b.phrase))) > 0""")
 def _blocked(m):
-    free = normalize.suppressed(m.frame("found"), m.frame("segments"), m.frame("forbidden"))
-    key = ["doc_id", "seg_no", "s", "e", "concept_id"]
-    return m.frame("found").where("concept_id is not null").join(free, key, "left_anti").select(*key).distinct()
+    places = normalize.phrases_at(m.frame("segments"), m.frame("forbidden"))
+    return m.frame("found").join(places, normalize.inside(places), "left_semi").select("doc_id", "seg_no", "s", "e", "concept_id").distinct()
 
 
 @table("events", lambda m: f"""
