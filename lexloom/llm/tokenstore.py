@@ -35,18 +35,29 @@ ROLL, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 #: Encoded words that a worker keeps.
 CACHE = 800_000
 _split = re.compile(r"[\x20\x09-\x0D]+").split
-#: What keeps a text from the quick way: other white space, letters beyond Latin, marks side by side.
-_odd = re.compile(r"[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]|(?:[^\w\s]|_){2}").search
+#: First code point beyond Latin; for each before it: 0 letters, digits and plain white space, 1 marks, 2 what is odd.
+_BEYOND = 0x250
+_KIND = np.array([2 if c in "\x1c\x1d\x1e\x1f\x85\xa0\u0130" else int(not c.isspace() and not c.isalnum()) for c in map(chr, range(_BEYOND))], np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 
 
+def odd(text: str) -> bool:
+    """What keeps a text from the quick way: other white space, letters beyond Latin, marks side by side."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if int(points.max()) >= _BEYOND:
+        return True
+    kind = _KIND[points]
+    mark = kind == 1
+    return bool((kind == 2).any() or (mark[1:] & mark[:-1]).any())
+
+
 def split(text: str) -> list[str]:
     """Parts whose ids, one after the other, are the text's: words between ASCII white space.
 
     In a plain text the stops stand by themselves and letters are lower case, as the tokenizer makes them, so that
     fewer different parts are left to encode.
     """
-    if _odd(text):
+    if odd(text):
         return _split(text)
     text = text.lower()
     for stop in ".,;:!?|":
@@ -83,19 +94,15 @@ class Encoder:
         self.known[""] = b""
         known = self.known
         parts = [split(t) if t else [] for t in texts]
-        got = [list(map(known.get, ws)) for ws in parts]
-        lacking = [k for k, g in enumerate(got) if None in g]
-        if lacking:
-            new = {w for k in lacking for w, g in zip(parts[k], got[k]) if g is None}
+        new = set().union(*parts).difference(known)
+        if new:
             plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
             self._together(plain, self.plain)
             new.difference_update(plain)
             letters = [w for w in new if w.isalpha()]
             self._together(letters, self.tokenizer)
             self._apart(list(new.difference(letters)))
-            for k in lacking:
-                got[k] = list(map(known.get, parts[k]))
-        return list(map(b"".join, got))
+        return [b"".join(map(known.__getitem__, ws)) for ws in parts]
 
     def _together(self, words: list[str], tokenizer) -> None:
         groups = [words[k : k + 200] for k in range(0, len(words), 200)]
@@ -131,6 +138,16 @@ class Encoder:
             at = end + gap
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder that this worker has for the file: what one task has met, the next need not encode again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks: where the hash of the last ids has its top bits zero, within the bounds on the length."""
     n = len(ids)
@@ -196,7 +213,7 @@ _BLOB = "kind int, name binary, doc_id long, n_tokens long, ids binary, chunks a
 
 def _blobs(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, here, row = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, here, row = encoder_of(path), TaskContext.get().partitionId(), 0
         seen: set[bytes] = set()
         for batch in slices(batches, 128):
             out = []
