@@ -200,7 +200,10 @@ def _(m):
 
 @query("g_chunks")
 def _(m):
-    return f"SELECT doc_id, {m.int('floor((row_number() OVER (ORDER BY doc_id) - 1) / 25)')} AS chunk FROM {m.t('labels')}"
+    """Groups of 25 in order of doc_id: rows are numbered within ranges of ids, ranges by what lies before them."""
+    ranged = f"(SELECT doc_id, {m.big('floor(doc_id / 1024)')} AS span FROM {m.t('labels')})"
+    before = f"(SELECT span, coalesce(sum(n) OVER (ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT span, count(*) AS n FROM {ranged} AS a GROUP BY span) AS c)"
+    return f"SELECT r.doc_id, {m.int('floor((b.before + r.k - 1) / 25)')} AS chunk FROM (SELECT doc_id, span, row_number() OVER (PARTITION BY span ORDER BY doc_id) AS k FROM {ranged} AS x) AS r JOIN {before} AS b ON b.span = r.span"
 
 
 @query("g_sequence")
