@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import anchors, substring, suffix
@@ -104,3 +105,20 @@ def test_loser_tree():
         want = next((i for i in range(suffix.WIDTH) if a[i] != b[i]), suffix.WIDTH)
         assert same == want
     assert list(suffix.merged([])) == []
+
+
+def test_places_by_part():
+    rng = np.random.default_rng(5)
+    doc, tag, place = rng.integers(0, 40, 2000), rng.integers(-9, 9, 2000), rng.integers(0, 500, 2000)
+    rows = anchors.dealt(doc, tag, place, 7)
+    assert len({p for p, _ in rows}) == len(rows) <= 7
+    got = {}
+    for _, packed in rows:
+        for r in anchors.by_document(pa.table({"packed": [packed]})).to_pylist():
+            assert (r["doc"], r["tag"]) not in got
+            got[r["doc"], r["tag"]] = sorted(np.frombuffer(r["places"], "<i4").tolist())
+    want = {}
+    for d, t, p in zip(doc.tolist(), tag.tolist(), place.tolist()):
+        want.setdefault((d, t), []).append(p)
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert anchors.dealt(*[np.zeros(0, np.int64)] * 3, 7) == []

@@ -165,3 +165,12 @@ def test_mix_odd_tables(spark, docs):
 
 def test_long_hash_is_wide():
     assert len(digest.digest("x")) == 32 == len(xxhash.xxh3_128_hexdigest(b""))
+
+
+def test_odd_texts_by_code_point():
+    import re
+
+    rule = re.compile(r"[\x1c-\x1f\x85\xa0İɐ-\U0010ffff]|(?:[^\w\s]|_){2}").search
+    for c in map(chr, [*range(1, 0x300), 0x1F600]):
+        for text in (c, f"a{c}b", f".{c}", f"{c}_", f" {c} "):
+            assert tokenstore.odd(text) == bool(rule(text)), repr(text)
