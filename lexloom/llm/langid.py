@@ -110,26 +110,31 @@ def held_out() -> F.Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, n, unit, count: words (n = 0) and n-grams, added up within the task as far as memory allows."""
-    counts: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
+    """lang, n, unit, count: words (n = 0), added up within the task as far as memory allows, and the n-grams of each."""
+    seen: Counter = Counter()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for (lang, word), c in seen.items():
+            counts[lang, 0, word] += c
+            for n in range(1, LONGEST + 1):
+                for g in grams(word, n):
+                    counts[lang, n, g] += c
+        seen.clear()
         keys = list(counts)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["lang", "n", "unit", "count"])
+        for k in range(0, len(keys), 100_000):
+            part = keys[k : k + 100_000]
+            columns = [pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.string()), pa.array([counts[x] for x in part], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "unit", "count"])
 
     for batch in slices(batches, 64):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for word, c in Counter(words(text)).items():
-                counts[lang, 0, word] += c
-                for n in range(1, LONGEST + 1):
-                    for g in grams(word, n):
-                        counts[lang, n, g] += c
-        if len(counts) > 400_000:
-            yield out()
-    if counts:
-        yield out()
+                seen[lang, word] += c
+        if len(seen) > 100_000:
+            yield from out()
+    if seen:
+        yield from out()
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
@@ -151,13 +156,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, n_words: int = WORDS,
     model = Model(languages)
     for n in range(LONGEST + 1):
         size = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals.get((lang, n), 1)))])
-        units = counts.where(F.col("n") == n).groupBy("unit").agg(F.max(F.col("count") / F.element_at(size, F.col("lang"))).alias("top"), F.sum("count").alias("all"), F.collect_list(F.struct("lang", "count")).alias("by"))
-        kept = units.where("all > 1").orderBy(F.desc("top"), "unit").limit(n_words if n == 0 else n_grams).collect()
+        own = [F.sum(F.when(F.col("lang") == lang, F.col("count")).otherwise(0)).alias(f"c{k}") for k, lang in enumerate(languages)]
+        units = counts.where(F.col("n") == n).groupBy("unit").agg(F.max(F.col("count") / F.element_at(size, F.col("lang"))).alias("top"), F.sum("count").alias("all"), *own)
+        kept = units.where("all > 1").orderBy(F.desc("top"), "unit").limit(n_words if n == 0 else n_grams).drop("top", "all").toPandas()
         base = [math.log(SMOOTH / (totals.get((lang, n), 0) + SMOOTH * (len(kept) + 1))) for lang in languages]
-        table = {}
-        for r in kept:
-            by = {x["lang"]: x["count"] for x in r["by"]}
-            table[r["unit"]] = tuple(base[k] + math.log1p(by.get(lang, 0) / SMOOTH) for k, lang in enumerate(languages))
+        scores = np.array(base) + np.log1p(kept[[f"c{k}" for k in range(len(languages))]].to_numpy(float) / SMOOTH)
+        table = dict(zip(kept["unit"], map(tuple, scores.tolist())))
         if n == 0:
             model.words = table
         elif table:
