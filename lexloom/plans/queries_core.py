@@ -345,15 +345,22 @@ def _(m):
     return f"SELECT doc_id, length({plain}) AS points, {m.sha(plain)} AS digest FROM {m.t('documents')}"
 
 
+def wide(m):
+    """doc_id, seg_no, line, wide: bytes before the segment beyond its code points. Blank lines hold none: they are spaces."""
+    return f"""(SELECT doc_id, seg_no, line, coalesce(sum({m.octets('line')} - length(line)) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wide FROM {m.t('segments')})"""
+
+
 @query("p_byte_offsets")
 def _(m):
-    return f"SELECT v.doc_id, v.seg_no, v.s, {m.big(m.octets('substring(d.text, 1, ' + m.int('v.seg_start + v.s') + ')'))} AS byte_start, {m.big(m.octets('substring(d.text, 1, ' + m.int('v.seg_start + v.e') + ')'))} AS byte_end FROM {m.t('events')} AS v JOIN {m.t('documents')} AS d ON d.doc_id = v.doc_id WHERE v.n > 1"
+    """Of all events: bytes before the segment and those of the line's beginning, so that no text is cut as a whole."""
+    start, end = (m.big(f"v.seg_start + g.wide + {m.octets(f'substring(g.line, 1, {m.int(at)})')}") for at in ("v.s", "v.e"))
+    return f"SELECT v.doc_id, v.seg_no, v.s, {start} AS byte_start, {end} AS byte_end FROM {m.t('events')} AS v JOIN {wide(m)} AS g ON g.doc_id = v.doc_id AND g.seg_no = v.seg_no"
 
 
 @query("p_line_col")
 def _(m):
-    nl = "'\\n'" if m.spark else "chr(10)"
-    return f"""SELECT v.doc_id, v.seg_start + v.s AS start_at, length(substring(d.text, 1, {m.int('v.seg_start + v.s')})) - length(replace(substring(d.text, 1, {m.int('v.seg_start + v.s')}), {nl}, '')) + 1 AS line, v.s AS col FROM {m.t('events')} AS v JOIN {m.t('documents')} AS d ON d.doc_id = v.doc_id WHERE v.n > 1"""
+    """Of all events; segments are numbered by lines, blank ones too."""
+    return f"SELECT doc_id, seg_start + s AS start_at, seg_no + 1 AS line, s AS col FROM {m.t('events')}"
 
 
 @query("p_sha256")

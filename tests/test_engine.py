@@ -46,6 +46,19 @@ def test_overlapping_surfaces_resolve_by_length_then_place(spark):
         assert want in {r.key for r in rows if r.doc_id == k}, text
 
 
+def test_places_of_all_events(spark):
+    texts = ["Straße é of the 🙂 hill\n\n  \nñ and 🙂 the sea\nthe end", "the", "🙂\nof é of the"]
+    engine = Engine(spark, docs(spark, *texts))
+    events = engine.table("events").collect()
+    assert {v.n for v in events} >= {1, 2}
+    octets = lambda d, at: len(texts[d][:at].encode())
+    want = sorted((v.doc_id, v.seg_no, v.s, octets(v.doc_id, v.seg_start + v.s), octets(v.doc_id, v.seg_start + v.e)) for v in events)
+    assert sorted(tuple(r) for r in engine.run("p_byte_offsets").collect()) == want
+    before = [(v.doc_id, texts[v.doc_id][: v.seg_start + v.s]) for v in events]
+    want = sorted((d, len(x), x.count("\n") + 1, len(x) - x.rfind("\n") - 1) for d, x in before)
+    assert sorted(tuple(r) for r in engine.run("p_line_col").select("doc_id", "start_at", "line", "col").collect()) == want
+
+
 def test_forbidden_phrases_free_their_span(spark):
     assert all(k != "of" for _, _, _, k, _ in found(spark, "cup of of tea"))
     assert any(k == "of" for _, _, _, k, _ in found(spark, "cup of tea"))
