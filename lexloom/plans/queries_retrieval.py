@@ -48,7 +48,7 @@ def _(m):
 
 @query("a_tf")
 def _(m):
-    return f"SELECT doc_id, term, tf FROM {m.t('tf')} WHERE tf > 1"
+    return f"SELECT doc_id, term, tf FROM {m.t('tf')}"
 
 
 @query("a_df")

@@ -93,6 +93,11 @@ def test_search_ranks_by_score_then_id(spark):
     assert [r.doc_id for r in rows][:2] == [0, 3] and {r.item_id for r in rows} == {7}
 
 
+def test_term_frequency_of_all_terms(spark):
+    rows = Engine(spark, docs(spark, "red red fox", "fox", "")).run("a_tf").collect()
+    assert sorted(tuple(r) for r in rows) == [(0, "fox", 1), (0, "red", 2), (1, "fox", 1)]
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("of the hill")
