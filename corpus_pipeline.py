@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for their first document. A document that loses all its lines goes."""
+    """Lines of recurring templates and lines copied from another text go, but for their first document. A document that loses all its lines goes."""
     out = templates.drop_templates(docs)
     out = out.where("n_removed < n_lines or n_removed = 0")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -7,6 +7,10 @@ template is its constants and fields; a template recurs if ``LEAST`` lines of di
 its tokens without digits are constant and so are half of all its tokens. Lines of recurring templates are dropped from every document but the first that has them
 (the least doc_id), so that what a template says is not lost with its last copy.
 
+A line that is repeated byte for byte needs no template: from ``EXACT`` characters on (without outer white space) it is
+dropped from every document but the first as soon as two different texts have it. Shorter lines, and lines that are
+alike in their tokens alone, need the support of a template.
+
 Exact copies of a whole text count once towards recurrence. Support is added up over different lines, never gathered
 by leaf, so that a line or leaf of a third of all documents is no burden to one task. Lines without tokens stay. Null
 and empty texts stay as they are. Among null doc_ids nothing is the first; their lines go if another document has
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources, words_of
 
 DEPTH, LEAST, SHARE = 3, 8, 0.8
+#: Fewest characters of a line that goes as an exact copy; what counts as white space around it.
+EXACT, SPACE = 20, " \t\n\x0b\x0c\r"
 FIELD = "<*>"
 _digit = re.compile(r"\d").search
 
@@ -48,6 +54,10 @@ def line_of(tokens: list[str]) -> str:
     return xxhash.xxh3_128_hexdigest("\x00".join(tokens).encode())
 
 
+def copy_of(line: str) -> str:
+    return hashlib.md5(line.encode()).hexdigest()
+
+
 def text_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
@@ -81,6 +91,19 @@ def _lines(bits: np.ndarray):
     return run
 
 
+def _copies(bits: np.ndarray, exact: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, lines = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = {c for x in set((text or "").split("\n")) if len(x) >= exact and len(x.strip(SPACE)) >= exact and in_filter(bits, c := copy_of(x))}
+                lines.extend(own)
+                ids.extend([doc_id] * len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(bytes.fromhex, lines), pa.binary())], ["doc_id", "copy"])
+
+    return run
+
+
 def _edit(place: int, drop: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -89,7 +112,7 @@ def _edit(place: int, drop: int, names: list[str]):
                 every = text.split("\n") if text else []
                 kept, out = every, set(lines or ())
                 if out:
-                    kept = [x for x in every if not (t := tokens_of(x)) or line_of(t) not in out]
+                    kept = [x for x in every if not (t := tokens_of(x)) or (line_of(t) not in out and copy_of(x) not in out)]
                 texts.append("\n".join(kept) if text is not None else None)
                 totals.append(len(every))
                 gone.append(len(every) - len(kept))
@@ -99,7 +122,20 @@ def _edit(place: int, drop: int, names: list[str]):
     return run
 
 
-def recurring(docs: DataFrame, kept: Scratch, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def copied(docs: DataFrame, kept: Scratch, exact: int = EXACT) -> DataFrame:
+    """doc_id, line: the lines (by digest) that each document has from another text and is not the first to have."""
+    every = sources(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text"), F.explode(F.split("text", "\n")).alias("line"))
+    every = every.where(F.length(F.trim("line", F.lit(SPACE))) >= exact).select("doc_id", "text", F.unhex(F.md5("line")).alias("copy"))
+    # Two different texts have a line if the least and the greatest digest of its texts differ.
+    found = every.groupBy("copy").agg(F.min("text").alias("one"), F.max("text").alias("other"), F.min("doc_id").alias("first"))
+    found = kept.save(found.where("one <> other").select("copy", "first"), "copies")
+    bits = bit_filter(found.select(F.hex("copy").alias("key")))
+    held = sources(docs, "doc_id", "text").mapInArrow(_copies(bits, exact), "doc_id long, copy binary")
+    later = held.join(found.hint("merge"), "copy").where("not (doc_id <=> first)")
+    return later.select("doc_id", F.lower(F.hex("copy")).alias("line"))
+
+
+def recurring(docs: DataFrame, kept: Scratch, least: int = LEAST, share: float = SHARE, exact: int = EXACT) -> DataFrame:
     """doc_id, lines: the lines (by hash) that each document loses; documents that lose none are absent."""
     leaves = sources(docs, "text").mapInArrow(_leaves, "leaf string, text long").distinct()
     leaves = kept.save(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
@@ -122,16 +158,17 @@ def recurring(docs: DataFrame, kept: Scratch, least: int = LEAST, share: float =
     hit = shapes.join(often.hint("merge"), own, "left_semi").select("line", *own)
     seen = kept.save(lines.select("doc_id", "line").join(hit.hint("merge"), "line"), "seen")
     first = seen.groupBy(*own).agg(F.min("doc_id").alias("first"))
-    later = seen.join(first.hint("merge"), own).where("not (doc_id <=> first)")
+    later = seen.join(first.hint("merge"), own).where("not (doc_id <=> first)").select("doc_id", "line")
+    later = later.union(copied(docs, kept, exact))
     return kept.save(later.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "lost")
 
 
-def drop_templates(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def drop_templates(docs: DataFrame, least: int = LEAST, share: float = SHARE, exact: int = EXACT) -> DataFrame:
     """The columns of docs, the text without its recurring lines, and n_lines, n_removed."""
     from pyspark.sql import types as T
 
     kept = Scratch(docs.sparkSession, "templates")
-    lost = recurring(docs, kept, least, share).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
+    lost = recurring(docs, kept, least, share, exact).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
     joined = docs.join(lost.hint("merge"), docs["doc_id"].eqNullSafe(lost["__id"]), "left").drop("__id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     names = joined.columns
@@ -144,7 +181,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int | None, str | None]], least: int = LEAST, share: float = SHARE) -> list[tuple[int, int, str]]:
+def brute_force(rows: list[tuple[int | None, str | None]], least: int = LEAST, share: float = SHARE, exact: int = EXACT) -> list[tuple[int, int, str]]:
     """n_lines, n_removed, kept_sha256 of each (doc_id, text), in plain Python, for tests."""
     support, forms = {}, {}
     per_leaf: dict = {}
@@ -172,9 +209,16 @@ def brute_force(rows: list[tuple[int | None, str | None]], least: int = LEAST, s
             t = template.get(tuple(tokens))
             if t and often[t] >= least and doc_id is not None:
                 first[t] = min(doc_id, first.get(t, doc_id))
+    holders: dict = {}
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            if len(line.strip(SPACE)) >= exact:
+                holders.setdefault(line, []).append((text, doc_id))
+    origin = {line: min((d for _, d in held if d is not None), default=None) for line, held in holders.items() if len({t for t, _ in held}) > 1}
     out = []
     for doc_id, text in rows:
         every = text.split("\n") if text else []
         keep = [x for x in every if not (t := template.get(tuple(tokens_of(x)))) or often[t] < least or first.get(t) == doc_id]
+        keep = [x for x in keep if x not in origin or origin[x] == doc_id]
         out.append((len(every), len(every) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
     return out

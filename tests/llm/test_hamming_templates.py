@@ -76,3 +76,16 @@ def test_template_rules(spark, docs):
     assert templates.drop_templates(docs([])).count() == 0
     nulls = templates.drop_templates(docs([(None, f"{same}\n{k}a") for k in range(9)])).collect()
     assert len(nulls) == 9
+
+
+def test_copied_lines_go_from_the_second_document(spark, docs):
+    long, field, short = "The harbour office closes at noon", "Call 555 0100 or 555 0101 today", "Read more"
+    texts = [f"{short}\nfirst text\n{long}", f"{long}\nsecond text\n{field}\n{short}", f"{field}\n{long}\n{long}\nthird text", long, *["a text of its own that is there twice"] * 2, None, ""]
+    out = [r["text"] for r in templates.drop_templates(docs(texts)).orderBy("doc_id").collect()]
+    assert out == [texts[0], f"second text\n{field}\n{short}", "third text", "", *texts[4:]]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in templates.digest(docs(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == templates.brute_force(list(enumerate(texts)))
+    nulls = templates.drop_templates(docs([(None, f"{long}\na"), (None, f"{long}\nb")])).collect()
+    assert all(r["n_removed"] == 0 for r in nulls)
+    nulls = templates.drop_templates(docs([(None, f"{long}\na"), (4, f"{long}\nb")])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in nulls} == {None: 1, 4: 0}
