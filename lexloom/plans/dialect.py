@@ -43,6 +43,7 @@ class Spark:
     def rx_get(self, x, p, g=1): return f"regexp_extract({x}, r'{p}', {g})"
     def rx_all(self, x, p): return f"regexp_extract_all({x}, r'{p}', 0)"
     def sha(self, x): return f"sha2({x}, 256)"
+    def hashed(self, x): return f"cast(conv(substring(md5({x}), 1, 12), 16, 10) AS bigint)"
     def octets(self, x): return f"octet_length({x})"
     def words(self, x): return f"split({x}, ' ')"
     def lam(self, v, body): return f"{v} -> {body}"
@@ -107,6 +108,7 @@ class Duck:
     def rx_get(self, x, p, g=1): return f"regexp_extract({x}, '{p}', {g})"
     def rx_all(self, x, p): return f"regexp_extract_all({x}, '{p}')"
     def sha(self, x): return f"sha256({x})"
+    def hashed(self, x): return f"cast('0x' || substring(md5({x}), 1, 12) AS bigint)"
     def octets(self, x): return f"strlen({x})"
     def words(self, x): return f"string_split({x}, ' ')"
     def lam(self, v, body): return f"lambda {v}: {body}"

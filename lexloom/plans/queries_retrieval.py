@@ -6,6 +6,8 @@ from lexloom.plans.registry import query
 from lexloom.plans.tables import derived
 
 K1, B = 1.2, 0.75
+#: Resamples of the paired bootstrap and their seed.
+RESAMPLES, SEED = 2000, 1729
 
 
 @derived("tf")
@@ -147,13 +149,20 @@ def _(m):
     return f"SELECT a.item_id, round(a.mrr_10 - b.mrr_10, 6) AS fall FROM {metrics(m)} AS a JOIN {metrics(m, 'fielded')} AS b ON a.item_id = b.item_id ORDER BY fall DESC, item_id LIMIT 20"
 
 
+@derived("deltas")
+def _(m):
+    """Numbered gains of the fielded arm over the raw one."""
+    return f"SELECT row_number() OVER (ORDER BY a.item_id) - 1 AS place, count(*) OVER () AS n, b.mrr_10 - a.mrr_10 AS delta FROM {metrics(m)} AS a JOIN {metrics(m, 'fielded')} AS b ON a.item_id = b.item_id"
+
+
 @query("e_bootstrap")
 def _(m):
-    """Means of resamples drawn by a digest of replicate and place; their 2.5 and 97.5 percentiles by nearest rank."""
-    draw = f"(SELECT rep, place, {m.big('(rep * 7919 + place * 104729 + rep * place * 31) % n')} AS pick FROM {m.numbers(0, 199, 'rep')} AS r CROSS JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM {metrics(m)} AS x) AS p)"
-    vals = f"(SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, mrr_10 FROM {metrics(m)} AS x)"
-    return f"""SELECT round(min(CASE WHEN k = 6 THEN mean END), 5) AS low, round(min(CASE WHEN k = 195 THEN mean END), 5) AS high, count(*) AS n FROM (SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k FROM (
-      SELECT d.rep, avg(v.mrr_10) AS mean FROM {draw} AS d JOIN {vals} AS v ON v.place = d.pick GROUP BY d.rep) AS a) AS b"""
+    """Means of resampled deltas, drawn by a digest of seed, replicate and place; their 2.5 and 97.5 percentiles by nearest rank, half to even. n is the number of resamples."""
+    draw = m.hashed(f"concat('{SEED}:', {m.text('r.rep')}, ':', {m.text('d.place')})")
+    draws = f"(SELECT r.rep, {m.big(f'{draw} % d.n')} AS pick FROM {m.numbers(0, RESAMPLES - 1, 'rep')} AS r CROSS JOIN {m.t('deltas')} AS d)"
+    ends = [m.half_even(f"(c - 1) * {p}e0") for p in (0.025, 0.975)]
+    return f"""SELECT coalesce(round(min(CASE WHEN k - 1 = {ends[0]} THEN mean END), 5), 0e0) AS low, coalesce(round(min(CASE WHEN k - 1 = {ends[1]} THEN mean END), 5), 0e0) AS high, count(*) AS n FROM (
+      SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k, count(*) OVER () AS c FROM (SELECT w.rep, round(avg(v.delta), 9) AS mean FROM {draws} AS w JOIN {m.t('deltas')} AS v ON v.place = w.pick GROUP BY w.rep) AS a) AS b"""
 
 
 @query("a_percentile")

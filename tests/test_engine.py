@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 
@@ -98,6 +99,24 @@ def test_term_frequency_of_all_terms(spark):
     assert sorted(tuple(r) for r in rows) == [(0, "fox", 1), (0, "red", 2), (1, "fox", 1)]
 
 
+def test_bootstrap_resamples_paired_deltas(spark):
+    engine = Engine(spark, docs(spark, "x"))
+    deltas = [0.0, 0.5, -0.25, 1.0, 0.1]
+    engine.dialect.frames["deltas"] = spark.createDataFrame([(k, len(deltas), d) for k, d in enumerate(deltas)], "place long, n long, delta double")
+    draw = lambda rep, k: int(hashlib.md5(f"1729:{rep}:{k}".encode()).hexdigest()[:12], 16) % len(deltas)
+    means = sorted(round(sum(deltas[draw(rep, k)] for k in range(5)) / 5, 9) for rep in range(2000))
+    (row,) = engine.run("e_bootstrap").collect()
+    assert (row.low, row.high, row.n) == (pytest.approx(means[50], abs=1e-5), pytest.approx(means[1949], abs=1e-5), 2000)
+    assert row.low < 0 < row.high
+
+
+def test_deltas_of_the_bootstrap_are_those_of_the_ablation(spark):
+    engine = Engine(spark, docs(spark, "red fox runs", "of the hill", "blue whale of the sea"))
+    engine.dialect.frames["benchmark"] = spark.createDataFrame([(1, "fox"), (2, "of the"), (3, "absent")], "item_id long, text string")
+    rows = engine.run("e_ablation").orderBy("item_id").collect()
+    assert [round(r.delta, 6) for r in engine.table("deltas").orderBy("place").collect()] == [r.delta for r in rows] and len(rows) == 2
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("of the hill")
