@@ -132,15 +132,34 @@ def _(m):
       UNION ALL SELECT page_id, ix, {first} FROM {headings(m)} AS h UNION ALL SELECT page_id, ix, {m.rx_sub('title', 's$', '')} FROM {headings(m)} AS h) AS v WHERE trim(variant) <> ''"""
 
 
-#: Families of protected text: name, pattern; in the order of precedence.
-FAMILIES = [("html", "<[^<>]+>"), ("code", "`[^`]+`"), ("url", "https?://[^ )]+"), ("email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z.]+"), ("hash", "[0-9a-f]{16,}"), ("version", "[0-9]+[.][0-9]+([.][0-9]+)*"), ("placeholder", "[{][A-Za-z_]+[}]"), ("flag", "--[a-z][a-z-]+"), ("number", "[0-9]+")]
+WHITE = r"[ \t\n\x0b\f\r]*"
+#: Families of protected text: name, pattern and, where the piece is a part of what is matched, what stands before and
+#: after it; in the order of precedence. (?ms) is for lines that end at \n alone.
+FAMILIES = [
+    ("html_block", "(?is)" + "|".join(f"<{tag}(?:[^>\\pL\\pN_][^>]*)?>.*?</{tag}{WHITE}>" for tag in ("code", "pre"))),
+    ("frontmatter", rf"(?ms)\A---\n.*?^---{WHITE}$"),
+    ("fenced_code", r"(?ms)^```.*?^```[^\n]*(?:\n|$)|^~~~.*?^~~~[^\n]*(?:\n|$)"),
+    ("html", "<[^<>]+>"),
+    ("code", "`[^`]+`"),
+    ("link_destination", r"[^)\n]+", r"!?\[[^\]\n]*\]\(", r"\)"),
+    ("url", "https?://[^ )]+"),
+    ("email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z.]+"),
+    ("hash", "[0-9a-f]{16,}"),
+    ("version", "[0-9]+[.][0-9]+(?:[.][0-9]+)*"),
+    ("placeholder", r"[$][{][{][^\n]*?[}][}]|[{][{][^\n]*?[}][}]|[$][{][A-Za-z_][A-Za-z0-9_]*[}]|%[(][^)]+[)]s|<%[^\n]*?%>|[{][A-Za-z_]+[}]"),
+    ("flag", "--[a-z][a-z-]+"),
+    ("number", "[0-9]+"),
+]
 
 
 def protected(m, table="documents", key="doc_id", text="text"):
     """key, family, piece, s, e of all matches of all families, by the marks of cut texts."""
     parts = []
-    for name, p in FAMILIES:
-        group = m.rx_sub(text, f"({p})", ("\u0001$1\u0002"))
+    for name, p, *around in FAMILIES:
+        before, after = around or ("", "")
+        if m.spark:
+            p = p.replace("(?ms)", "(?msd)")
+        group = m.rx_sub(text, f"({before})({p})({after})", ("$1\u0001$2\u0002$3"))
         if m.spark:
             src = f"SELECT {key}, pos AS ix, col AS piece FROM {m.t(table)} LATERAL VIEW posexplode(split({group}, '[\u0001\u0002]')) v AS pos, col"
         else:

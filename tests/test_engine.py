@@ -117,6 +117,21 @@ def test_deltas_of_the_bootstrap_are_those_of_the_ablation(spark):
     assert [round(r.delta, 6) for r in engine.table("deltas").orderBy("place").collect()] == [r.delta for r in rows] and len(rows) == 2
 
 
+def test_protected_families(spark):
+    texts = {
+        "html_block": ["a <PRE class='x'>one <b>\ntwo</pre > b <code>c</code>", ["<PRE class='x'>one <b>\ntwo</pre >", "<code>c</code>"]],
+        "frontmatter": ["---\ntitle: x\n---\nbody\n---\n", ["---\ntitle: x\n---"]],
+        "fenced_code": ["see\n```py\nx = 1\n```\nand\n~~~\ny\n~~~ z\nend ``` no\n", ["```py\nx = 1\n```\n", "~~~\ny\n~~~ z\n"]],
+        "link_destination": ["[a](b/c.md) and ![](d) [e] (f)", ["b/c.md", "d"]],
+        "placeholder": ["${{ a b }} {{c}} ${d_1} %(e)s <% f %> {g}", ["${{ a b }}", "{{c}}", "${d_1}", "%(e)s", "<% f %>", "{g}"]],
+    }
+    rows = Engine(spark, docs(spark, *[t for t, _ in texts.values()], "x\n---\nno front matter\n---\n")).run("g_protected_raw").collect()
+    for k, (family, (text, want)) in enumerate(texts.items()):
+        got = sorted((r.s, r.e, r.piece) for r in rows if r.doc_id == k and r.family == family)
+        assert [p for _, _, p in got] == want and all(text[s:e] == p for s, e, p in got), family
+    assert not any(r.family == "frontmatter" for r in rows if r.doc_id == len(texts))
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("of the hill")
