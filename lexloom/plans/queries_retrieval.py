@@ -78,7 +78,9 @@ def _(m):
     return f"""SELECT q.item_id, {m.big('coalesce(min(r.rank), 51)')} AS first_rank, {m.big('51 - coalesce(min(r.rank), 51)')} AS gain FROM {m.t('qrels')} AS q LEFT JOIN {m.t('ranked')} AS r ON r.item_id = q.item_id AND r.doc_id = q.doc_id GROUP BY q.item_id"""
 
 
-METRICS = """SELECT q.item_id, max(q.relevant) AS relevant, round(sum(CASE WHEN r.rank <= 1 THEN 1 ELSE 0 END) / max(q.relevant), 6) AS recall_1, round(sum(CASE WHEN r.rank <= 10 THEN 1 ELSE 0 END) / max(q.relevant), 6) AS recall_10,
+CUTOFFS = (1, 3, 5, 10, 50)
+RECALLS = ", ".join(f"round(sum(CASE WHEN r.rank <= {k} THEN 1 ELSE 0 END) / max(q.relevant), 6) AS recall_{k}" for k in CUTOFFS)
+METRICS = f"""SELECT q.item_id, max(q.relevant) AS relevant, {RECALLS},
       round(sum(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) / 5e0, 6) AS precision_5, round(coalesce(max(CASE WHEN r.rank <= 10 THEN 1e0 / r.rank END), 0e0), 6) AS mrr_10, round(coalesce(sum(CASE WHEN r.rank <= 10 THEN 1e0 / log2(r.rank + 1) END), 0e0) / max(q.ideal), 6) AS ndcg_10"""
 
 
@@ -89,7 +91,7 @@ def metrics(m, ranked="ranked"):
 
 @query("e_metrics")
 def _(m):
-    return f"SELECT item_id, relevant, recall_1, recall_10, precision_5, mrr_10, ndcg_10 FROM {metrics(m)} AS x"
+    return f"SELECT item_id, relevant, {', '.join(f'recall_{k}' for k in CUTOFFS)}, precision_5, mrr_10, ndcg_10 FROM {metrics(m)} AS x"
 
 
 @derived("canon_terms")

@@ -132,6 +132,14 @@ def test_protected_families(spark):
     assert not any(r.family == "frontmatter" for r in rows if r.doc_id == len(texts))
 
 
+def test_recall_at_all_cutoffs(spark):
+    engine = Engine(spark, docs(spark, "x"))
+    engine.dialect.frames["qrels"] = spark.createDataFrame([(1, d) for d in (10, 20, 30, 40)], "item_id long, doc_id long")
+    engine.dialect.frames["ranked"] = spark.createDataFrame([(1, 10, 9.0, 2), (1, 20, 8.0, 4), (1, 30, 7.0, 9), (1, 40, 6.0, 50), (1, 5, 9.5, 1)], "item_id long, doc_id long, score double, rank int")
+    (row,) = engine.run("e_metrics").collect()
+    assert [row[f"recall_{k}"] for k in (1, 3, 5, 10, 50)] == [0, 0.25, 0.5, 0.75, 1]
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("of the hill")
