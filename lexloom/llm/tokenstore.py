@@ -360,6 +360,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     The checksum of a document follows from those of its chunks, so each stored chunk is read once and no ids move.
     """
+    broken = [r["shard"] for r in verify_manifest(spark, path).orderBy("shard").limit(20).collect()]
+    if broken:
+        raise ValueError(f"shards that do not match the manifest: {', '.join(map(str, broken))}")
     chunks, recipes, manifest = open_store(spark, path)
     sums = chunks.mapInArrow(_sums, "name binary, n long, crc long")
     different = recipes.select("root", "chunks").groupBy("root").agg(F.first("chunks").alias("chunks"))
@@ -375,7 +378,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """shard: shards whose recipes do not give the manifest's root; none if the store is whole."""
+    """shard: shards whose recipes do not give the manifest's root and counts, or are not in it; none if the store is whole."""
     _, recipes, manifest = open_store(spark, path)
 
     def roots(key, frame):
@@ -384,10 +387,10 @@ def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
         tree = Tree()
         for r in frame.sort_values("start_in_shard", kind="stable")["root"]:
             tree.add(bytes(r))
-        return pd.DataFrame({"shard": [key[0]], "found": [tree.root()]})
+        return pd.DataFrame({"shard": [key[0]], "found": [tree.root()], "docs": [len(frame)], "tokens": [int(frame["n_tokens"].sum())]})
 
-    found = recipes.groupBy("shard").applyInPandas(roots, "shard int, found binary")
-    return manifest.join(found, "shard", "left").where("not (root <=> found)").select("shard")
+    found = recipes.select("shard", "start_in_shard", "root", "n_tokens").groupBy("shard").applyInPandas(roots, "shard int, found binary, docs long, tokens long")
+    return manifest.join(found, "shard", "full").where("not (root <=> found and n_docs <=> docs and n_tokens <=> tokens)").select("shard")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:

@@ -43,6 +43,24 @@ def test_store_empty(spark, docs):
     assert tokenstore.read(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("damage", ["lost", "repeated", "swapped"])
+def test_reading_checks_the_manifest(spark, docs, damage):
+    path = Scratch(spark, "test").path("store")
+    tokenstore.write(docs([f"text number {k} of the store" for k in range(12)]), path, tokenizer_file("word_bpe_49k.json"))
+    recipes = tokenstore.open_store(spark, path)[1]
+    rows = [r.asDict() for r in recipes.orderBy("shard", "start_in_shard").collect()]
+    if damage == "lost":
+        del rows[3]
+    elif damage == "repeated":
+        rows.append(rows[3])
+    else:
+        a, b = next((a, b) for a, b in zip(rows, rows[1:]) if a["shard"] == b["shard"])
+        a["root"], b["root"], a["chunks"], b["chunks"] = b["root"], a["root"], b["chunks"], a["chunks"]
+    spark.createDataFrame([tuple(r[c] for c in recipes.columns) for r in rows], recipes.schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="do not match the manifest"):
+        tokenstore.read(spark, path)
+
+
 def test_store_finds_damage(spark, docs, odd):
     batches = list(tokenstore._sums(iter([])))
     assert batches == []
