@@ -11,6 +11,7 @@ import pytest
 from lexloom import lexicon
 from lexloom.__main__ import main
 from lexloom.engine import Engine
+from lexloom.operators import building
 from lexloom.sources import files
 from lexloom.streaming import flows
 
@@ -140,6 +141,14 @@ def test_recall_at_all_cutoffs(spark):
     assert [row[f"recall_{k}"] for k in (1, 3, 5, 10, 50)] == [0, 0.25, 0.5, 0.75, 1]
 
 
+def test_rounds_end_with_the_pool_or_at_their_limit(spark, tmp_path):
+    docs(spark, " ".join(f"word{k}" for k in range(200)) + " a bc").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda *limits: [tuple(r) for r in building.converge(spark, str(tmp_path), *limits).orderBy("round").collect()]
+    assert run() == [(k, 24 * k, 24 * k, 202) for k in range(1, 9)]
+    assert [r[:2] for r in run(90)] == [(1, 90), (2, 180), (3, 200)]
+    assert [r[:2] for r in run(50, 3)] == [(1, 50), (2, 100), (3, 150)]
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("of the hill")
