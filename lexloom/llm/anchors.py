@@ -5,6 +5,8 @@ A text is a row of units (words or bytes). Each window of ``span`` units has an
 its anchor occurs there too. Anchors are few (about 2 / (span - gram) of the units), and only they are exchanged:
 each task sorts its own, settles those it has from two documents itself, and sends one entry for each different
 anchor, packed by bucket, so that an anchor of a third of all documents costs no more than one entry from each task.
+What a bucket finds goes back packed by part, a set of documents that one task gathers, so there are never more rows
+than entries, and far fewer while buckets and parts are few.
 
 Texts whose units are all alike are one text from here on, that of the least doc_id. A null doc_id counts as greater
 than all others. A document is known by its doc_id and 64 bits of its digest, so rows may share a doc_id.
@@ -30,6 +32,8 @@ from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources
 LAST = (1 << 63) - 1
 #: Anchor entries that a task holds before it sends them; bytes of text for each bucket.
 HELD, BUCKET = 500_000, 16 << 20
+#: Bytes of text, and documents, whose results one task gathers.
+PART, PART_DOCS = 64 << 20, 400_000
 #: An anchor that more documents have is hot.
 HOT = 4096
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -129,12 +133,27 @@ def key_of(doc: int, tag: int) -> str:
     return xxhash.xxh3_64_hexdigest(f"{doc}:{tag}".encode())
 
 
-_SCAN = {"kind": pa.int32(), "row": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "n": pa.int64(), "sha": pa.string(), "bucket": pa.int64(), "packed": pa.binary()}
-SCAN = "kind int, row long, doc long, tag long, n long, sha string, bucket long, packed binary"
+def part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _scan(kind: Kind, buckets: int):
-    """Rows of kind 0: a document. 1: anchors of a row that are known to repeat. 2: entries for a bucket."""
+def by_part(row: np.ndarray, value: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Rows and their anchors, packed by the part that gathers them."""
+    if not len(row):
+        return []
+    part = part_of(row, parts)
+    order = np.lexsort((value, row, part))
+    part, row, value = part[order], row[order], value[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return [(int(part[p[0]]), pack(np.diff(row[p], prepend=np.int64(0)), value[p])) for p in np.split(np.arange(len(row)), cuts)]
+
+
+_SCAN = {"kind": pa.int32(), "row": pa.int64(), "part": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "n": pa.int64(), "sha": pa.string(), "bucket": pa.int64(), "packed": pa.binary()}
+SCAN = "kind int, row long, part long, doc long, tag long, n long, sha string, bucket long, packed binary"
+
+
+def _scan(kind: Kind, buckets: int, parts: int):
+    """Rows of kind 0: a document. 1: anchors that are known to repeat, for a part. 2: entries for a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, row = TaskContext.get().partitionId() << 33, 0
@@ -151,27 +170,23 @@ def _scan(kind: Kind, buckets: int):
             value, at = value[new], at[new]
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(value)))
-            rows = []
             several = np.repeat(count, count) > 1
-            by = np.argsort(at[several], kind="stable")
-            mine, values = at[several][by], value[several][by]
-            for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(mine)) + 1) if len(mine) else []:
-                rows.append((1, int(mine[part[0]]), None, None, None, None, None, pack(values[part])))
+            rows = [(1, None, part, None, None, None, None, None, data) for part, data in by_part(at[several], value[several], parts)]
             value, at, count = value[first], np.where(count > 1, -1, at[first] - base), np.minimum(count, HOT + 1)
             bucket = (value % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")  # within a bucket the anchors stay sorted
             for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
                 v = value[part]
-                rows.append((2, base, None, None, None, None, int(bucket[part[0]]), pack(np.diff(v, prepend=np.uint64(0)), at[part].astype(np.int32), count[part].astype(np.int32))))
+                rows.append((2, base, None, None, None, None, None, int(bucket[part[0]]), pack(np.diff(v, prepend=np.uint64(0)), at[part].astype(np.int32), count[part].astype(np.int32))))
             for k in range(0, len(rows), 4096):
                 yield batch_of(rows[k : k + 4096], _SCAN)
 
         for batch in by_size(batches, 1):
             units, sizes, plain = kind.units(batch.column(1).to_pylist())
-            rows = []
+            rows, home = [], part_of(np.arange(base + row, base + row + batch.num_rows), parts).tolist()
             for k, (doc, size, data) in enumerate(zip(batch.column(0).to_pylist(), sizes.tolist(), plain)):
                 sha = hashlib.sha256(data).hexdigest()
-                rows.append((0, base + row + k, LAST if doc is None else doc, tag_of(sha), size, sha, None, None))
+                rows.append((0, base + row + k, home[k], LAST if doc is None else doc, tag_of(sha), size, sha, None, None))
             yield batch_of(rows, _SCAN)
             _, text, value = kind.anchors(units, sizes)
             turn = np.ones(len(value), bool)
@@ -186,31 +201,31 @@ def _scan(kind: Kind, buckets: int):
     return run
 
 
-_FOUND = {"row": pa.int64(), "packed": pa.binary()}
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket's entries, those whose anchor another entry or document has, packed by row. Row -1: hot anchors."""
-    values, rows, counts = [], [], []
-    for base, data in zip(table.column("row").to_pylist(), table.column("packed").to_pylist()):
-        v, at, n = unpack(data, "u8", "i4", "i4")
-        values.append(np.cumsum(v, dtype=np.uint64))
-        rows.append(np.where(at < 0, -1, at.astype(np.int64) + base))
-        counts.append(n)
-    value, at, count = np.concatenate(values), np.concatenate(rows), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(value, kind="stable")
-    value, at, count = value[order], at[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    size = np.diff(np.append(first, len(value)))
-    total = np.repeat(np.add.reduceat(count, first), size)
-    on = (total > 1) & (at >= 0)
-    hot = value[first][np.add.reduceat(count, first) > HOT]
-    value, at = value[on], at[on]
-    order = np.argsort(at, kind="stable")
-    out = [(-1, pack(hot))] if len(hot) else []
-    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
-        out.append((int(at[part[0]]), pack(value[part])))
-    return pa.Table.from_batches([batch_of(out, _FOUND)])
+_FOUND = {"part": pa.int64(), "packed": pa.binary()}
+
+
+def _meet(parts: int):
+    """Of a bucket's entries, those whose anchor another entry or document has, packed by part. Part -1: hot anchors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, rows, counts = [], [], []
+        for base, data in zip(table.column("row").to_pylist(), table.column("packed").to_pylist()):
+            v, at, n = unpack(data, "u8", "i4", "i4")
+            values.append(np.cumsum(v, dtype=np.uint64))
+            rows.append(np.where(at < 0, -1, at.astype(np.int64) + base))
+            counts.append(n)
+        value, at, count = np.concatenate(values), np.concatenate(rows), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        value, at, count = value[order], at[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        size = np.diff(np.append(first, len(value)))
+        sums = np.add.reduceat(count, first)
+        on = (np.repeat(sums, size) > 1) & (at >= 0)
+        hot = value[first][sums > HOT]
+        out = [(-1, pack(hot))] if len(hot) else []
+        return pa.Table.from_batches([batch_of([*out, *by_part(at[on], value[on], parts)], _FOUND)])
+
+    return run
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,24 +234,54 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([f"{v:012x}" for v in unpack(data, "u8")[0].tolist()], pa.string())], ["key"])
 
 
+_SHARED = {"doc": pa.int64(), "tag": pa.int64(), "packed": pa.binary()}
+
+
+def _gather(own: pa.Table, found: pa.Table) -> pa.Table:
+    """The anchors of a part's documents, one row for each document that has any."""
+    packed = [unpack(x, "i8", "u8") for x in found.column("packed").to_pylist()]
+    if not packed or not own.num_rows:
+        return batch_table([], _SHARED)
+    row, value = np.concatenate([np.cumsum(p[0]) for p in packed]), np.concatenate([p[1] for p in packed])
+    mine, doc, tag = [own.column(c).to_numpy() for c in ("row", "doc", "tag")]
+    order = np.argsort(mine, kind="stable")
+    mine, doc, tag = mine[order], doc[order], tag[order]
+    at = np.minimum(np.searchsorted(mine, row), len(mine) - 1)
+    on = mine[at] == row
+    at, value = at[on], value[on]
+    order = np.lexsort((value, at))
+    at, value = at[order], value[order]
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    return batch_table([(int(doc[at[p[0]]]), int(tag[at[p[0]]]), pack(value[p])) for p in np.split(np.arange(len(at)), cuts)] if len(at) else [], _SHARED)
+
+
+def batch_table(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.Table:
+    return pa.Table.from_batches([batch_of(rows, schema)])
+
+
 def candidates(docs: DataFrame, kind: Kind, kept: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """All documents (doc, tag, n, sha, least: the least doc of the same units), and those that may share a window
-    with another text (doc, tag, packed: lists of the anchors that repeat), and a filter that has all hot anchors."""
+    """All documents (doc, tag, n, sha, least: the least doc of the same units), those that may share a window with
+    another text (doc, tag, packed: the anchors that repeat), and a filter that has all hot anchors."""
     plain = sources(docs, "doc_id", "text")
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    scan = kept.save(plain.mapInArrow(_scan(kind, size // BUCKET + 1), SCAN), "scan")
-    every = scan.where("kind = 0").select("row", "doc", "tag", "n", "sha")
-    least = every.groupBy("sha").agg(F.min("doc").alias("least"))
-    every = kept.save(every.join(least.hint("merge"), "sha"), "every")
-    met = scan.where("kind = 2").select("bucket", "row", "packed").groupBy("bucket").applyInArrow(_meet, "row long, packed binary")
+    size, rows = plain.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = size or 0
+    parts = size // PART + rows // PART_DOCS + 1
+    scan = kept.save(plain.mapInArrow(_scan(kind, size // BUCKET + 1, parts), SCAN), "scan")
+    every = scan.where("kind = 0").select("row", "part", "doc", "tag", "n", "sha").withColumn("task", F.shiftright("row", 33))
+    # Copies meet by task first, so that a text of very many documents is a row of each task.
+    local = every.groupBy("task", "sha").agg(F.min("doc").alias("low"))
+    least = local.join(local.groupBy("sha").agg(F.min("low").alias("least")).hint("merge"), "sha").select("task", "sha", "least")
+    every = kept.save(every.join(least.hint("merge"), ["task", "sha"]).drop("task"), "every")
+    met = scan.where("kind = 2").select("bucket", "row", "packed").groupBy("bucket").applyInArrow(_meet(parts), "part long, packed binary")
     met = kept.save(met, "met")
-    hot = bit_filter(met.where("row = -1").select("packed").mapInArrow(_values, "key string"))
-    found = scan.where("kind = 1").select("row", "packed").unionByName(met)
-    own = every.where(F.col("doc") == F.col("least")).where(F.col("n") >= kind.span).select("row", "doc", "tag")
-    shared = found.join(own.hint("merge"), "row").groupBy("doc", "tag").agg(F.collect_list("packed").alias("packed"))
-    shared = kept.save(shared, "shared")
+    hot = bit_filter(met.where("part = -1").select("packed").mapInArrow(_values, "key string"))
+    found = scan.where("kind = 1").select("part", "packed").unionByName(met.where("part >= 0"))
+    own = every.where(F.col("doc") == F.col("least")).where(F.col("n") >= kind.span).select("part", "row", "doc", "tag")
+    shared = own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_gather, "doc long, tag long, packed binary")
+    # Rows may share doc_id and text.
+    shared = kept.save(shared.groupBy("doc", "tag").agg(F.collect_list("packed").alias("packed")), "shared")
     kept.drop("scan")
-    return every.drop("row"), shared, hot
+    return every.drop("row", "part"), shared, hot
 
 
 def with_text(docs: DataFrame, kind: Kind, table: DataFrame) -> DataFrame:
@@ -308,7 +353,7 @@ def spots(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> list[tuple]:
 
 def dealt(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
     """Places packed by the part that gathers their documents."""
-    part = (mix(doc.view(np.uint64) ^ tag.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = part_of(doc ^ tag, parts)
     order = np.lexsort((place, tag, doc, part))
     part, doc, tag, place = part[order], doc[order], tag[order], place[order].astype(np.int32)
     cuts = np.flatnonzero(np.diff(part)) + 1

@@ -174,7 +174,7 @@ _DEALT = {"part": pa.int64(), "packed": pa.binary()}
 DEALT = "part long, packed binary"
 
 
-def _regions(buckets: int, hot: np.ndarray):
+def _regions(buckets: int, parts: int, hot: np.ndarray):
     """Rows of kind 1: places to remove, settled here, by part. 2: a front-coded run for a bucket, and its regions' documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _regions(buckets: int, hot: np.ndarray):
             # all windows of a region that a smaller document has too
             count = (key[gone, SPAN].astype(np.int64) + key[gone, WIDTH - 1] - 1) - SPAN + 1
             every = np.repeat(place[gone], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            rows = [(1, *s, None, None, None) for s in anchors.dealt(np.repeat(doc[gone], count), np.repeat(tag[gone], count), every, buckets)]
+            rows = [(1, *s, None, None, None) for s in anchors.dealt(np.repeat(doc[gone], count), np.repeat(tag[gone], count), every, parts)]
             bucket, key, doc, tag, place = [x[~gone] for x in (bucket, key, doc, tag, place)]
             for part in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
                 rows.append((2, None, None, int(bucket[part[0]]), front_coded(key[part]), anchors.pack(doc[part], tag[part], place[part].astype(np.int32))))
@@ -311,7 +311,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     size = every.agg(F.sum("n")).first()[0] or 0
     held = anchors.with_text(docs, KIND, repeats).select("doc", "tag", "text", "packed")
     parts = size // anchors.BUCKET + 1
-    found = kept.save(held.mapInArrow(_regions(parts, hot), REGIONS), "regions")
+    found = kept.save(held.mapInArrow(_regions(parts, parts, hot), REGIONS), "regions")
     met = found.where("kind = 2").select("bucket", "run", "owners").groupBy("bucket").applyInArrow(_merge(parts), DEALT)
     places = found.where("kind = 1").select("part", "packed").unionByName(met).groupBy("part").applyInArrow(anchors.by_document, anchors.SPOTS)
     places = places.select("doc", "tag", F.array("places").alias("places"))
