@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, slices, sources
+from lexloom.llm.anchors import by_size
+from lexloom.llm.common import slices, sources
 
 END_ID = 1
 #: Ids in the rolling hash; bits that must be zero for a cut (512 ids on average); least and most ids of a chunk.
 ROLL, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
-#: Encoded words that a worker keeps.
-CACHE = 800_000
+#: Encoded words that a worker keeps (twice as many for a while).
+CACHE = 500_000
 _split = re.compile(r"[\x20\x09-\x0D]+").split
 #: First code point beyond Latin; for each before it: 0 letters, digits and plain white space, 1 marks, 2 what is odd.
 _BEYOND = 0x250
@@ -87,14 +88,19 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[ends] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known, self.older = {}, self.known  # words that come again come back from the older ones
         self.known[""] = b""
-        known = self.known
+        known, older = self.known, self.older
         parts = [split(t) if t else [] for t in texts]
         new = set().union(*parts).difference(known)
+        if older and new:
+            again = {w: older[w] for w in new if w in older}
+            known.update(again)
+            new.difference_update(again)
         if new:
             plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
             self._together(plain, self.plain)
@@ -148,20 +154,25 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ids has its top bits zero, within the bounds on the length."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a stream may be cut: where the hash of the last ids has its top bits zero."""
+    if len(ids) < ROLL:
+        return np.zeros(0, np.int64)
+    rolled = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    rolled ^= rolled >> np.uint64(32)
+    size, factor = 1, _BASE
+    while size < ROLL:  # two hashes side by side make that of twice the length
+        rolled = rolled[:-size] * np.uint64(factor) + rolled[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    return np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + ROLL
+
+
+def cuts_at(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids that may be cut at the places, within the bounds on the length."""
     if n <= LEAST:
         return [n] if n else []
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    rolled, factor = np.zeros(n - ROLL + 1, np.uint64), 1
-    for k in range(ROLL):
-        rolled += mixed[ROLL - 1 - k : n - k] * np.uint64(factor)
-        factor = factor * _BASE % (1 << 64)
-    marks = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + ROLL
     out, at = [], 0
-    for m in marks.tolist():
+    for m in places:
         while m - at > MOST:
             at += MOST
             out.append(at)
@@ -174,6 +185,24 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream."""
+    return cuts_at(marks(ids).tolist(), len(ids))
+
+
+def cuts_of(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Ends of the chunks of streams put together, each as if it were alone."""
+    ends = np.cumsum(sizes)
+    places = marks(ids)
+    stream = np.searchsorted(ends, places - 1, side="right")
+    start = ends - sizes
+    on = places - start[stream] >= ROLL
+    places, stream = (places - start[stream])[on], stream[on]
+    first = np.searchsorted(stream, np.arange(len(sizes) + 1))
+    places = places.tolist()
+    return [cuts_at(places[a:b], n) for a, b, n in zip(first[:-1].tolist(), first[1:].tolist(), sizes)]
+
+
 def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -213,23 +242,29 @@ _BLOB = "kind int, name binary, doc_id long, n_tokens long, ids binary, chunks a
 
 def _blobs(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, here, row = encoder_of(path), TaskContext.get().partitionId(), 0
+        encoder, prefix, row = encoder_of(path), TaskContext.get().partitionId().to_bytes(4, "big"), 0
+        end = int(end_id).to_bytes(4, "little")
         seen: set[bytes] = set()
-        for batch in slices(batches, 128):
+        for batch in by_size(batches, 1, 1 << 19):
             out = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                data += int(end_id).to_bytes(4, "little")
-                ids, at, names = np.frombuffer(data, "<u4"), 0, []
-                for end in cuts(ids):
-                    name = name_of(data[4 * at : 4 * end])
+            coded = [c + end for c in encoder.encode(batch.column(1).to_pylist())]
+            whole, base = b"".join(coded), 0
+            sizes = [len(c) // 4 for c in coded]
+            ids = np.frombuffer(whole, "<u4")
+            short, narrow = ids.astype("<u2").tobytes(), bool(ids.max(initial=0) < 65536)
+            for doc_id, n, ends in zip(batch.column(0).to_pylist(), sizes, cuts_of(ids, sizes)):
+                at, names = base, []
+                for to in ends:
+                    to += base
+                    name = name_of(whole[4 * at : 4 * to])
                     if name not in seen:
-                        part = ids[at:end]
-                        out.append((1, name, None, end - at, part.astype("<u2").tobytes() if part.max() < 65536 else part.tobytes(), None))
+                        packed = short[2 * at : 2 * to] if narrow or ids[at:to].max() < 65536 else whole[4 * at : 4 * to]
+                        out.append((1, name, None, to - at, packed, None))
                         seen.add(name)
                     names.append(name)
-                    at = end
-                out.append((0, here.to_bytes(4, "big") + row.to_bytes(8, "big"), doc_id, len(ids), None, names))
-                row += 1
+                    at = to
+                out.append((0, prefix + row.to_bytes(8, "big"), doc_id, n, None, names))
+                row, base = row + 1, base + n
             if len(seen) > 100_000:
                 seen.clear()  # what it no longer knows is told apart later, by the grouping
             kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
@@ -335,24 +370,38 @@ def append_zeros(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
     return crc
 
 
-def combined(lists: list[list[tuple[int, int]]]) -> list[int]:
-    """CRC-32 of the parts of each list put together, from (bytes, CRC) of each part."""
-    out = np.zeros(len(lists), np.uint64)
-    for k in range(max(map(len, lists), default=0)):
-        on = np.array([i for i, x in enumerate(lists) if len(x) > k])
-        n, crc = np.array([lists[i][k][0] for i in on], np.int64), np.array([lists[i][k][1] for i in on], np.uint64)
-        out[on] = append_zeros(out[on], n) ^ crc
-    return out.astype(np.int64).tolist()
+def combined(size: np.ndarray, crc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of the parts of each list put together, from bytes and CRC of each part; first: where each list starts, and the end.
+
+    Neighbours of a list become one, again and again, all lists at a time.
+    """
+    out, count = np.zeros(len(first) - 1, np.int64), np.diff(first)
+    owner = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(owner)) - first[owner]
+    size, crc = size.astype(np.int64), crc.astype(np.uint64)
+    while place.any():
+        left = np.flatnonzero(place % 2 == 0)
+        pair = np.flatnonzero(np.append(owner, -1)[left + 1] == owner[left])
+        right = left[pair] + 1
+        more, sizes = crc[left], size[left]
+        more[pair] = append_zeros(more[pair], size[right]) ^ crc[right]
+        sizes[pair] += size[right]
+        owner, place, size, crc = owner[left], place[left] // 2, sizes, more
+    out[owner] = crc
+    return out
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2048):
-        lists = [[(4 * p["n"], p["crc"]) for p in parts] for parts in batch.column(1).to_pylist()]
-        for names, root in zip(([p["name"] for p in parts] for parts in batch.column(1).to_pylist()), batch.column(0).to_pylist()):
-            if merkle(names) != root:
+        parts = batch.column(1)
+        first = np.append(0, np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)))
+        flat = parts.flatten()
+        n, crc, names = flat.field("n").to_numpy(), flat.field("crc").to_numpy(), flat.field("name").to_pylist()
+        for root, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+            if merkle(names[a:b]) != root:
                 raise ValueError(f"recipe {root.hex()} does not match its root")
-        sizes = pa.array([sum(n for n, _ in x) // 4 for x in lists], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(combined(lists), pa.int64())], ["root", "n_read", "ids_crc32"])
+        upto = np.append(0, np.cumsum(n))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(upto[first[1:]] - upto[first[:-1]]), pa.array(combined(4 * n, crc, first))], ["root", "n_read", "ids_crc32"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

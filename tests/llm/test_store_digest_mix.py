@@ -83,7 +83,16 @@ def test_cuts_follow_content():
 def test_crc_of_parts():
     rng = np.random.default_rng(2)
     parts = [[rng.bytes(int(n)) for n in rng.integers(0, 400, 9)] for _ in range(20)]
-    assert tokenstore.combined([[(len(p), zlib.crc32(p)) for p in x] for x in parts]) == [zlib.crc32(b"".join(x)) for x in parts]
+    parts[7], parts[9] = [], parts[9][:1]
+    sizes, sums = [np.array([f(p) for x in parts for p in x]) for f in (len, zlib.crc32)]
+    assert tokenstore.combined(sizes, sums, np.cumsum([0, *map(len, parts)])).tolist() == [zlib.crc32(b"".join(x)) for x in parts]
+
+
+def test_cuts_of_streams_put_together():
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 49000, n).astype("<u4") for n in (1, 15, 16, 17, 128, 129, 3000, 1, 9000, 40, 5000)]
+    together = tokenstore.cuts_of(np.concatenate(streams), [len(s) for s in streams])
+    assert together == [tokenstore.cuts(s) for s in streams]
 
 
 def test_tree_is_merkle():
