@@ -11,13 +11,14 @@ from lexloom.sources import files
 
 
 class Engine:
-    """Runs any named query on tables that are given as DataFrames; the lexicon's tables can be replaced too.
+    """Runs any named query on tables that are given as DataFrames; the lexicon's tables can be replaced too, and so can
+    those of the ledger, proposals, verdicts, amendments, provenance and imports (``tables.GIVEN`` after the plans are read).
 
     ``documents`` needs doc_id and text; queries that read lang, source or n_chars need those as well.
     """
 
     def __init__(self, spark: SparkSession, documents: DataFrame | None = None, **given: DataFrame) -> None:
-        unknown = set(given) - set(lexicon.TABLES) - {"benchmark", "labels", "pages", "conversations", "events"}
+        unknown = set(given) - set(lexicon.TABLES) - tables.GIVEN - {"benchmark", "labels", "pages", "conversations", "events"}
         if unknown:
             raise files.ContractError(f"unknown tables: {', '.join(sorted(unknown))}")
         self.spark, self.dialect = spark, dialect.Spark(spark, "", tables.SPARK)
@@ -39,7 +40,7 @@ class Engine:
         event = F.struct("s", "e", "key", "mode", "concept_id", "lang", "owners")
         found = self.table("events").groupBy("doc_id", "seg_no").agg(F.array_sort(F.collect_list(event)).alias("match_events"))
         out = self.table("segments").withColumn("end", (F.col("seg_start") + F.length("line")).cast("long")).withColumnRenamed("seg_start", "start")
-        for part in (found, self.table("seg_lang").select("doc_id", "seg_no", "language"), self.table("canonical"), self.run("p_tokens"), self.run("p_text_expanded").withColumnRenamed("added", "expanded"), self.run("p_status")):
+        for part in (found, self.table("seg_lang").select("doc_id", "seg_no", "language"), self.table("canonical"), self.run("p_tokens"), self.run("p_text_expanded"), self.run("p_status")):
             out = out.join(part, ["doc_id", "seg_no"], "left")
         review = F.coalesce(F.col("status") == "review", F.lit(False))
         return out.withColumn("original", F.col("line")).withColumn("canonical_text", F.coalesce("canonical_text", "line")).withColumn("needs_review", review).drop("line")

@@ -69,6 +69,10 @@ FORBIDDEN = [("core.of", "en", "of of"), ("core.in", "en", "in and"), ("core.be"
 FUNCTION_WORDS = [("en", w) for w in ("the", "of", "and", "to", "is", "that", "it", "for", "was", "with", "by", "this", "not", "are")] + [("es", w) for w in ("de", "la", "que", "el", "los", "se", "del", "un", "con", "su", "una", "para", "por", "las")]
 STOP_WORDS = ["the", "of", "and", "to", "in", "a", "is", "it", "de", "la", "que", "el", "en", "der", "die", "und", "le", "les", "des", "et"]
 ANTONYMS = [("before", "after"), ("near", "afar"), ("known", "unknown"), ("part", "whole")]
+#: Words that no term ends with; verbs without which a clause has none; words that join parts or point back.
+DANGLING = ["of", "the", "in", "on", "at", "to", "for", "and", "or", "a", "an", "de", "del", "la", "el", "los", "las", "en", "con", "por", "para", "y", "o", "un", "una", "al"]
+COPULAS = ["is", "are", "was", "were", "es", "son", "era", "eran", "fue"]
+HEDGES = ["and", "or", "it", "this", "these", "those", "they", "them", "y", "o", "se", "ello", "esto", "estos", "ellos"]
 #: Longest automatic surface, in tokens.
 LONGEST = 3
 
@@ -81,6 +85,9 @@ TABLES: dict[str, tuple[list[str], list[tuple]]] = {
     "function_words": (["lang", "word"], FUNCTION_WORDS),
     "stop_words": (["word"], [(w,) for w in STOP_WORDS]),
     "antonyms": (["one", "other"], ANTONYMS),
+    "dangling": (["word"], [(w,) for w in DANGLING]),
+    "copulas": (["word"], [(w,) for w in COPULAS]),
+    "hedges": (["word"], [(w,) for w in HEDGES]),
 }
 
 

@@ -71,6 +71,31 @@ def candidates(runs: DataFrame, keys: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(keys), "key")
 
 
+def _at_ends(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each candidate twice, with inside: whether its start, or its end, lies within a span.
+
+    Spans of a document do not overlap, so what a point lies in can only be the last span that starts before it; one
+    pass over a document's candidates and spans in order finds it.
+    """
+    ends = found.select("*", F.explode(F.array(F.col("seg_start") + F.col("s"), F.col("seg_start") + F.col("e"))).alias("__at"))
+    marks = spans.select("doc_id", F.col("s").cast("long").alias("__at"), F.col("e").cast("long").alias("__reach"))
+    before = Window.partitionBy("doc_id").orderBy("__at", F.col("__reach").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    both = ends.unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("inside", F.coalesce(F.max("__reach").over(before) > F.col("__at"), F.lit(False)))
+    return both.where("__reach is null").drop("__at", "__reach")
+
+
+def crossing(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Candidates that cross a protected span: they overlap it and do not contain it."""
+    return _at_ends(found, spans).where("inside").drop("inside").distinct()
+
+
+def uncrossed(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Candidates that cross no protected span; one that contains a span changes nothing within it."""
+    names = found.columns
+    return _at_ends(found, spans).groupBy(*names).agg(F.max("inside").alias("inside")).where("not inside").select(*names)
+
+
 def phrases_at(segs: DataFrame, forbidden: DataFrame) -> DataFrame:
     """f_doc, f_seg, f_concept, f_lang, f_s, f_e: where forbidden phrases stand; few, as most lines hold none."""
     phrases = forbidden.select(F.col("concept_id").alias("f_concept"), F.col("lang").alias("f_lang"), F.lower("phrase").alias("phrase"))
@@ -109,8 +134,10 @@ def longest_first(found: DataFrame) -> DataFrame:
     return out.select("doc_id", "seg_no", "seg_start", "x.s", "x.e", "x.n", "x.key", "x.mode", "x.concept_id", "x.lang", "x.owners")
 
 
-def events(docs: DataFrame, forms: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """Concept events of all documents, automatic and for review."""
+def events(docs: DataFrame, forms: DataFrame, forbidden: DataFrame, shielded: DataFrame | None = None) -> DataFrame:
+    """Concept events of all documents, automatic and for review; shielded: protected spans (doc_id, s, e) that none may cross."""
     segs = segments(docs)
     found = candidates(spans(tokens(segs)), matcher(forms))
+    if shielded is not None:
+        found = uncrossed(found, shielded)
     return longest_first(suppressed(found, segs, forbidden))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexloom.functions import text as T
 from lexloom.plans.registry import query
+from lexloom.plans.tables import FOLD, derived
 
 
 @query("s_infer_kind")
@@ -133,10 +134,13 @@ def _(m):
 
 
 WHITE = r"[ \t\n\x0b\f\r]*"
+WORDS = r"\pL\pN_"
+UNITS = "ms|s|min|h|Hz|kHz|MHz|GB|MB|KB|B|kg|g|km|m|cm|mm|°C|°F"
 #: Families of protected text: name, pattern and, where the piece is a part of what is matched, what stands before and
-#: after it; in the order of precedence. (?ms) is for lines that end at \n alone.
+#: after it; in the order of precedence. (?ms) is for lines that end at \n alone. Where a piece must end with a word, the
+#: pattern takes all of the word, and CHECKED says what the piece must then be like.
 FAMILIES = [
-    ("html_block", "(?is)" + "|".join(f"<{tag}(?:[^>\\pL\\pN_][^>]*)?>.*?</{tag}{WHITE}>" for tag in ("code", "pre"))),
+    ("html_block", "(?is)" + "|".join(f"<{tag}(?:[^>{WORDS}][^>]*)?>.*?</{tag}{WHITE}>" for tag in ("code", "pre"))),
     ("frontmatter", rf"(?ms)\A---\n.*?^---{WHITE}$"),
     ("fenced_code", r"(?ms)^```.*?^```[^\n]*(?:\n|$)|^~~~.*?^~~~[^\n]*(?:\n|$)"),
     ("html", "<[^<>]+>"),
@@ -144,29 +148,48 @@ FAMILIES = [
     ("link_destination", r"[^)\n]+", r"!?\[[^\]\n]*\]\(", r"\)"),
     ("url", "https?://[^ )]+"),
     ("email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z.]+"),
-    ("hash", "[0-9a-f]{16,}"),
-    ("version", "[0-9]+[.][0-9]+(?:[.][0-9]+)*"),
     ("placeholder", r"[$][{][{][^\n]*?[}][}]|[{][{][^\n]*?[}][}]|[$][{][A-Za-z_][A-Za-z0-9_]*[}]|%[(][^)]+[)]s|<%[^\n]*?%>|[{][A-Za-z_]+[}]"),
-    ("flag", "--[a-z][a-z-]+"),
+    ("path_or_flag", rf"--?[A-Za-z][{WORDS}-]*|[A-Za-z]:[\\/][^ \t\n\r]+|(?:[.]{{0,2}}/)[^ \t\n\r`]+", rf"^|[^{WORDS}]", ""),
+    ("version", "[0-9]+[.][0-9]+(?:[.][0-9]+)*"),
+    ("hash", "[0-9a-f]{16,}"),
+    ("identifier", rf"[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+[{WORDS}]*", rf"^|[^{WORDS}]", ""),
+    ("number_unit", rf"[0-9]+(?:[.,][0-9]+)?[ \t]?(?:%|(?:{UNITS})[{WORDS}]*)", rf"^|[^{WORDS}]", ""),
     ("number", "[0-9]+"),
+    ("name", rf"[A-Za-z]+_[A-Za-z0-9_]+[{WORDS}]*|[a-z]+[A-Z][A-Za-z0-9]*[{WORDS}]*|[A-Za-z][{WORDS}-]*[.][A-Za-z0-9_.-]*[A-Za-z0-9_][{WORDS}]*", rf"^|[^{WORDS}]", ""),
 ]
+CHECKED = {
+    "identifier": "^[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+$",
+    "number_unit": rf"^[0-9]+(?:[.,][0-9]+)?[ \t]?(?:%|{UNITS})$",
+    "name": rf"^(?:[A-Za-z]+_[A-Za-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z][{WORDS}-]*[.][A-Za-z0-9_.-]+)$",
+}
 
 
 def protected(m, table="documents", key="doc_id", text="text"):
-    """key, family, piece, s, e of all matches of all families, by the marks of cut texts."""
+    """key, family, piece, s, e of all matches of all families, by the marks of cut texts.
+
+    Texts without a match of a family are left at once; of the others only the matches and the lengths of what lies
+    between are dealt out, once for all families.
+    """
     parts = []
     for name, p, *around in FAMILIES:
         before, after = around or ("", "")
         if m.spark:
             p = p.replace("(?ms)", "(?msd)")
-        group = m.rx_sub(text, f"({before})({p})({after})", ("$1\u0001$2\u0002$3"))
+        whole = f"({before})({p})({after})"
+        group, some = m.rx_sub(text, whole, ("$1\u0001$2\u0002$3")), m.rx(text, whole)
         if m.spark:
-            src = f"SELECT {key}, pos AS ix, col AS piece FROM {m.t(table)} LATERAL VIEW posexplode(split({group}, '[\u0001\u0002]')) v AS pos, col"
+            parts.append(f"named_struct('family', '{name}', 'parts', CASE WHEN {some} THEN split({group}, '[\u0001\u0002]') END)")
         else:
-            src = f"SELECT {key}, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS ix FROM (SELECT {key}, string_split_regex({group}, '[\\x01\\x02]') AS ps FROM {m.t(table)})"
-        parts.append(f"""SELECT {key}, '{name}' AS family, piece, s, s + length(piece) AS e FROM (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY {key} ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-          FROM ({src}) AS a) AS b WHERE ix % 2 = 1""")
-    return "(" + " UNION ALL ".join(parts) + ")"
+            src = f"SELECT {key}, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS ix FROM (SELECT {key}, string_split_regex({group}, '[\\x01\\x02]') AS ps FROM {m.t(table)} WHERE {some})"
+            parts.append(f"SELECT {key}, '{name}' AS family, ix, length(piece) AS n, CASE WHEN ix % 2 = 1 THEN piece END AS piece FROM ({src}) AS a")
+    if m.spark:
+        cut = f"(SELECT {key}, explode(array({', '.join(parts)})) AS f FROM {m.t(table)})"
+        every = f"SELECT /*+ REPARTITION({key}) */ {key}, f.family AS family, pos AS ix, length(col) AS n, CASE WHEN pos % 2 = 1 THEN col END AS piece FROM {cut} AS a LATERAL VIEW posexplode(f.parts) v AS pos, col"
+    else:
+        every = " UNION ALL ".join(parts)
+    checks = " ".join(f"WHEN '{name}' THEN {m.rx('piece', p)}" for name, p in CHECKED.items())
+    return f"""(SELECT {key}, family, piece, s, s + n AS e FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {key}, family ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM ({every}) AS b) AS c WHERE ix % 2 = 1 AND n > 0 AND CASE family {checks} ELSE true END)"""
 
 
 @query("g_protected_raw")
@@ -179,16 +202,34 @@ def _(m):
     return f"SELECT family, count(*) AS n, {m.big('sum(e - s)')} AS points FROM {protected(m, 'pages', 'page_id', 'html')} AS p GROUP BY family"
 
 
+def shield(p: str, docs: str) -> None:
+    """Protected spans of a table of documents, merged, and those that no match may cross."""
+
+    @derived(f"{p}guarded")
+    def _(m):
+        """In order of start, the longer first: one inside what came before goes, one that overlaps it starts at its end."""
+        rank = " ".join(f"WHEN '{name}' THEN {k}" for k, (name, *_) in enumerate(FAMILIES))
+        order = f"PARTITION BY doc_id ORDER BY s, e DESC, CASE family {rank} END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        return f"""SELECT doc_id, family, {m.big('greatest(s, reach)')} AS s, {m.big('e')} AS e, substring(piece, {m.int('greatest(reach - s, 0) + 1')}) AS piece FROM (
+          SELECT *, coalesce(max(e) OVER ({order}), 0) AS reach FROM {protected(m, docs)} AS a) AS b WHERE e > reach"""
+
+    @derived(f"{p}shielded")
+    def _(m):
+        """A span whose text is an automatic form by itself is none."""
+        return f"SELECT doc_id, family, s, e, piece FROM {m.t(p + 'guarded')} AS g WHERE NOT EXISTS (SELECT 1 FROM {m.t('matcher')} AS k WHERE k.mode = 'auto' AND k.key = {FOLD.format('g.piece')})"
+
+
+shield("", "documents")
+shield("q_", "q_documents")
+
+
 def merged(m):
-    """Protected spans without those inside others: what starts a new island of overlapping spans."""
-    return f"""(SELECT doc_id, min(s) AS s, max(e) AS e, count(*) AS n FROM (
-      SELECT *, sum(CASE WHEN s < reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e DESC, family ROWS UNBOUNDED PRECEDING) AS island FROM (
-        SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach FROM {protected(m)} AS p) AS q) AS r GROUP BY doc_id, island)"""
+    return m.t("guarded")
 
 
 @query("g_merge_spans")
 def _(m):
-    return f"SELECT doc_id, {m.big('s')} AS s, {m.big('e')} AS e, n FROM {merged(m)} AS x"
+    return f"SELECT doc_id, family, s, e FROM {merged(m)} AS x"
 
 
 @query("f_overlaps")
@@ -209,7 +250,7 @@ def _(m):
 
 @query("f_protected_unless_key")
 def _(m):
-    return f"SELECT p.doc_id, p.family, count(*) AS n FROM {protected(m)} AS p WHERE lower(p.piece) NOT IN (SELECT key FROM {m.t('matcher')}) GROUP BY p.doc_id, p.family"
+    return f"SELECT doc_id, family, count(*) AS n FROM {m.t('shielded')} AS p GROUP BY doc_id, family"
 
 
 @query("f_absorbed")

@@ -14,8 +14,11 @@ fixture("decisions", "seq int, request_id string, candidate string, confidence d
 fixture("proposals", "term string, concept_id string, pref string, class string, quote string, surfaces string", [
     ("upon", "core.upon", "upon", "property", "upon the", "upon"), ("Near", "core.near", "near", "property", "near it", "near,close"), ("bad", "Bad Id", "bad", "entity", "bad of", "bad"), ("odd", "core.odd", "odd", "strange", "odd and", "odd"), ("nigh", "core.near", "near", "property", "nigh of", "nigh"), ("the", "core.the2", "the", "entity", "the of", "the")])
 fixture("verdicts", "concept_id string, verdict string", [("core.upon", "stands"), ("core.near", "refuted"), ("core.odd", "maybe"), ("core.gone", "stands")])
-fixture("amendments", "seq int, op string, concept_id string, lang string, form string, value string", [
-    (1, "add_form", "core.to", "es", "hacia", "alt"), (2, "demote", "core.a", "shared", "a", "review"), (3, "remove_form", "core.be", "en", "are", ""), (4, "promote", "core.on", "en", "on", "auto"), (5, "demote", "core.on", "en", "on", "review"), (6, "forbid", "core.in", "en", "in in", ""), (7, "redefine", "core.as", "en", "", "in the manner of"), (8, "add_form", "core.none", "en", "none", "alt"), (9, "remove_form", "core.of", "en", "off", "")])
+fixture("amendments", "seq int, batch int, op string, concept_id string, lang string, form string, value string", [
+    (1, 1, "add_form", "core.to", "es", "hacia", "alt"), (2, 1, "demote", "core.a", "shared", "a", "review"), (3, 1, "remove_form", "core.be", "en", "are", ""), (4, 1, "promote", "core.on", "en", "on", "auto"), (5, 1, "demote", "core.on", "en", "on", "review"),
+    (6, 2, "forbid", "core.in", "en", "in in", ""), (7, 2, "redefine", "core.as", "en", "", "in the manner of"), (8, 2, "unforbid", "core.be", "en", "to be", ""), (9, 2, "rename_pref", "core.with", "en", "with", "along with"), (10, 2, "link_broader", "core.after", "", "", "core.by"),
+    (11, 3, "add_form", "core.none", "en", "none", "alt"), (12, 3, "add_form", "core.of", "en", "off", "alt"), (13, 4, "remove_form", "core.of", "en", "off", ""), (14, 5, "add_concept", "core.upon", "en", "upon", "over and touching"), (15, 5, "link_broader", "core.upon", "", "", "core.on"),
+    (16, 6, "add_concept", "core.of", "en", "of", "again"), (17, 7, "link_broader", "core.the", "", "", "core.this"), (18, 8, "link_broader", "core.by", "", "", "core.by"), (19, 9, "unforbid", "core.of", "en", "for of", ""), (20, 10, "merge", "core.of", "en", "of", "")])
 fixture("provenance", "event_id string, concept_id string, act string", [("e1", "core.the", "add"), ("e2", "core.of", "add"), ("e3", "core.of", "amend"), ("e3", "core.in", "amend")])
 
 
@@ -96,10 +99,26 @@ def _(m):
     return f"""SELECT p.concept_id, min(lower(p.term)) AS winner, count(DISTINCT lower(p.pref)) AS labels, max(s.surfaces) AS surfaces FROM {m.t('proposals')} AS p JOIN (SELECT concept_id, {m.set_of('surface')} AS surfaces FROM {surfaces} AS y GROUP BY concept_id) AS s ON s.concept_id = p.concept_id GROUP BY p.concept_id"""
 
 
+OPS = ("add_concept", "add_form", "remove_form", "promote", "demote", "rename_pref", "forbid", "unforbid", "redefine", "link_broader")
+
+
 @derived("amend_faults")
 def _(m):
-    return f"""SELECT a.seq, a.op, CASE WHEN c.concept_id IS NULL THEN 'unknown_concept' WHEN a.op IN ('demote', 'promote', 'remove_form') AND f.form IS NULL THEN 'unknown_form' END AS fault FROM {m.t('amendments')} AS a LEFT JOIN {m.t('concepts')} AS c ON c.concept_id = a.concept_id
-      LEFT JOIN (SELECT DISTINCT concept_id, lang, form FROM {m.t('forms')}) AS f ON f.concept_id = a.concept_id AND f.lang = a.lang AND f.form = a.form"""
+    """What is wrong with each amendment by itself: null if nothing."""
+    added = f"(SELECT DISTINCT batch, concept_id FROM {m.t('amendments')} WHERE op = 'add_concept')"
+    return f"""SELECT a.seq, a.batch, a.op, CASE WHEN a.op NOT IN ({', '.join(map(repr, OPS))}) THEN 'unknown_operation' WHEN a.op = 'add_concept' THEN CASE WHEN c.concept_id IS NOT NULL THEN 'concept_exists' END WHEN c.concept_id IS NULL AND n.concept_id IS NULL THEN 'unknown_concept'
+        WHEN a.op IN ('demote', 'promote', 'remove_form', 'rename_pref') AND f.form IS NULL THEN 'unknown_form' WHEN a.op = 'rename_pref' AND f.kind <> 'pref' THEN 'not_preferred' WHEN a.op = 'unforbid' AND x.phrase IS NULL THEN 'not_forbidden'
+        WHEN a.op = 'link_broader' AND a.value = a.concept_id THEN 'self_link' WHEN a.op = 'link_broader' AND p.concept_id IS NULL THEN 'unknown_parent' WHEN a.op = 'link_broader' AND i.child IS NOT NULL THEN 'inverse_link' WHEN a.op = 'link_broader' AND e.child IS NOT NULL THEN 'link_exists' END AS fault
+      FROM {m.t('amendments')} AS a LEFT JOIN {m.t('concepts')} AS c ON c.concept_id = a.concept_id LEFT JOIN {added} AS n ON n.batch = a.batch AND n.concept_id = a.concept_id
+      LEFT JOIN (SELECT concept_id, lang, form, min(kind) AS kind FROM {m.t('forms')} GROUP BY concept_id, lang, form) AS f ON f.concept_id = a.concept_id AND f.lang = a.lang AND f.form = a.form
+      LEFT JOIN (SELECT DISTINCT concept_id, lang, phrase FROM {m.t('forbidden')}) AS x ON x.concept_id = a.concept_id AND x.lang = a.lang AND x.phrase = a.form
+      LEFT JOIN {m.t('concepts')} AS p ON p.concept_id = a.value LEFT JOIN (SELECT DISTINCT child, parent FROM {m.t('broader')}) AS i ON i.child = a.value AND i.parent = a.concept_id LEFT JOIN (SELECT DISTINCT child, parent FROM {m.t('broader')}) AS e ON e.child = a.concept_id AND e.parent = a.value"""
+
+
+@derived("amended")
+def _(m):
+    """Amendments that stand: a batch with one fault is not written at all."""
+    return f"SELECT a.* FROM {m.t('amendments')} AS a WHERE a.batch NOT IN (SELECT batch FROM {m.t('amend_faults')} WHERE fault IS NOT NULL)"
 
 
 @query("x_amend_refusals")
@@ -110,16 +129,25 @@ def _(m):
 @query("x_amend")
 def _(m):
     """Forms after the amendments that stand: of several on one form the last holds."""
-    ops = f"(SELECT a.*, row_number() OVER (PARTITION BY a.concept_id, a.lang, a.form ORDER BY a.seq DESC) AS k FROM {m.t('amendments')} AS a JOIN {m.t('amend_faults')} AS x ON x.seq = a.seq AND x.fault IS NULL WHERE a.op IN ('demote', 'promote', 'remove_form', 'add_form'))"
-    return f"""SELECT f.concept_id, f.lang, f.form, CASE WHEN o.op = 'demote' THEN 'review' WHEN o.op = 'promote' THEN 'auto' ELSE f.policy END AS policy FROM {m.t('forms')} AS f LEFT JOIN {ops} AS o ON o.concept_id = f.concept_id AND o.lang = f.lang AND o.form = f.form AND o.k = 1 WHERE o.op IS NULL OR o.op <> 'remove_form'
-      UNION ALL SELECT concept_id, lang, form, 'auto' FROM {ops} AS o WHERE op = 'add_form' AND k = 1"""
+    ops = f"(SELECT a.*, row_number() OVER (PARTITION BY a.concept_id, a.lang, a.form ORDER BY a.seq DESC) AS k FROM {m.t('amended')} AS a WHERE a.op IN ('demote', 'promote', 'remove_form', 'add_form', 'rename_pref', 'add_concept'))"
+    return f"""SELECT f.concept_id, f.lang, CASE WHEN o.op = 'rename_pref' THEN o.value ELSE f.form END AS form, CASE WHEN o.op = 'demote' THEN 'review' WHEN o.op = 'promote' THEN 'auto' ELSE f.policy END AS policy FROM {m.t('forms')} AS f LEFT JOIN {ops} AS o ON o.concept_id = f.concept_id AND o.lang = f.lang AND o.form = f.form AND o.k = 1 WHERE o.op IS NULL OR o.op <> 'remove_form'
+      UNION ALL SELECT concept_id, lang, form, 'auto' FROM {ops} AS o WHERE op IN ('add_form', 'add_concept') AND k = 1"""
 
 
 @query("x_amend_meaning")
 def _(m):
-    """Definitions and forbidden phrases after the amendments."""
-    return f"""SELECT c.concept_id, coalesce(a.value, c.definition) AS definition, coalesce(b.n, 0) + coalesce(f.n, 0) AS forbidden FROM {m.t('concepts')} AS c LEFT JOIN (SELECT concept_id, max(value) AS value FROM {m.t('amendments')} WHERE op = 'redefine' GROUP BY concept_id) AS a ON a.concept_id = c.concept_id
-      LEFT JOIN (SELECT concept_id, count(*) AS n FROM {m.t('amendments')} WHERE op = 'forbid' GROUP BY concept_id) AS b ON b.concept_id = c.concept_id LEFT JOIN (SELECT concept_id, count(*) AS n FROM {m.t('forbidden')} GROUP BY concept_id) AS f ON f.concept_id = c.concept_id"""
+    """Concepts, their definitions and how many phrases they forbid after the amendments."""
+    last = f"(SELECT concept_id, value FROM (SELECT concept_id, value, row_number() OVER (PARTITION BY concept_id ORDER BY seq DESC) AS k FROM {m.t('amended')} AS a WHERE op = 'redefine') AS x WHERE k = 1)"
+    every = f"(SELECT concept_id, definition FROM {m.t('concepts')} UNION ALL SELECT concept_id, value FROM {m.t('amended')} AS a WHERE op = 'add_concept')"
+    phrases = f"""(SELECT concept_id, count(*) AS n FROM (SELECT concept_id, lang, phrase FROM {m.t('forbidden')} UNION SELECT concept_id, lang, form FROM {m.t('amended')} AS a WHERE op = 'forbid'
+      EXCEPT SELECT concept_id, lang, form FROM {m.t('amended')} AS b WHERE op = 'unforbid') AS p GROUP BY concept_id)"""
+    return f"SELECT c.concept_id, coalesce(a.value, c.definition) AS definition, coalesce(f.n, 0) AS forbidden FROM {every} AS c LEFT JOIN {last} AS a ON a.concept_id = c.concept_id LEFT JOIN {phrases} AS f ON f.concept_id = c.concept_id"
+
+
+@query("x_amend_links")
+def _(m):
+    """Broader edges after the amendments."""
+    return f"SELECT child, parent FROM {m.t('broader')} UNION SELECT concept_id, value FROM {m.t('amended')} AS a WHERE op = 'link_broader'"
 
 
 @query("k_provenance")

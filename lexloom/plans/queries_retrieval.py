@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from lexloom.functions import text as T
 from lexloom.plans.registry import query
-from lexloom.plans.tables import derived
+from lexloom.plans.tables import derived, table
+from lexloom.sources.shared import stored
 
 K1, B = 1.2, 0.75
 #: Resamples of the paired bootstrap and their seed.
@@ -42,10 +44,32 @@ def _(m):
     return f"SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {m.t('bm25')} WHERE score > 0) AS r WHERE rank <= 50"
 
 
-@derived("qrels")
+HELD = "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON position({} IN {}) > 0"
+
+
+def holders(m, fold):
+    """Items and the documents that hold their text, with fold around both texts.
+
+    Where a text has three words or more, a document that holds it has all but the first and last as words of its own,
+    so only documents with the rarest of these are looked at. The few shorter texts are looked for in all documents.
+    """
+    terms = f"(SELECT item_id, text, ts, {m.size('ts')} AS n FROM (SELECT item_id, text, regexp_extract_all(lower(text), r'{T.WORD}', 0) AS ts FROM {m.t('benchmark')}) AS a)"
+    inner = f"(SELECT item_id, explode(slice(ts, 2, n - 2)) AS term FROM {terms} AS b WHERE n > 2)"
+    rarest = f"(SELECT item_id, min_by(term, struct(df, term)) AS term FROM (SELECT i.item_id, i.term, coalesce(f.df, 0) AS df FROM {inner} AS i LEFT JOIN {m.t('df')} AS f ON f.term = i.term) AS c GROUP BY item_id)"
+    return f"""SELECT p.item_id, d.doc_id FROM (SELECT r.item_id, t.doc_id FROM {rarest} AS r JOIN {m.t('tf')} AS t ON t.term = r.term) AS p JOIN {m.t('benchmark')} AS b ON b.item_id = p.item_id JOIN {m.t('documents')} AS d ON d.doc_id = p.doc_id WHERE position({fold('b.text')} IN {fold('d.text')}) > 0
+      UNION ALL SELECT b.item_id, d.doc_id FROM {terms} AS b JOIN {m.t('documents')} AS d ON position({fold('b.text')} IN {fold('d.text')}) > 0 WHERE b.n <= 2"""
+
+
+@table("qrels", HELD.format("b.text", "d.text"))
 def _(m):
     """Items whose text a document holds."""
-    return f"SELECT b.item_id, d.doc_id FROM {m.t('benchmark')} AS b JOIN {m.t('documents')} AS d ON position(b.text IN d.text) > 0"
+    return stored(m.session.sql(holders(m, "{}".format)), "qrels")
+
+
+@table("grepped", HELD.format("lower(b.text)", "lower(d.text)"))
+def _(m):
+    """The same whatever the case."""
+    return m.session.sql(holders(m, "lower({})".format))
 
 
 @query("a_tf")
@@ -94,30 +118,78 @@ def _(m):
     return f"SELECT item_id, relevant, {', '.join(f'recall_{k}' for k in CUTOFFS)}, precision_5, mrr_10, ndcg_10 FROM {metrics(m)} AS x"
 
 
-@derived("canon_terms")
+FIELDS = ("raw", "canonical", "concept", "operator")
+#: Weights of the fields in each arm; arm B adds the automatic forms of the query's concepts to the raw field.
+ARMS = {"A": {"raw": 1.0}, "B": {"raw": 1.0}, "C": {"raw": 3.0, "canonical": 2.0}, "D": {"raw": 3.0, "concept": 2.0, "operator": 2.0}, "E": {"canonical": 1.0}}
+EXPANSION = 0.5
+
+
+def field_terms(m, p: str, raw: str) -> str:
+    """field, doc_id, term, n: the terms of the fields but the raw one, of documents or queries."""
+    text = f"(SELECT g.doc_id, coalesce(c.canonical_text, g.line) AS text FROM {m.t(p + 'segments')} AS g LEFT JOIN {m.t(p + 'canonical')} AS c ON c.doc_id = g.doc_id AND c.seg_no = g.seg_no)"
+    words = f"(SELECT doc_id, {m.explode(m.rx_all('lower(text)', T.WORD), 'term')} FROM {text} AS a)"
+    operator = "semantic_class IN ('modality', 'polarity', 'temporal', 'condition', 'quantity')"
+    return f"""SELECT 'raw' AS field, {raw}
+      UNION ALL SELECT 'canonical', doc_id, term, count(*) FROM {words} AS w GROUP BY doc_id, term
+      UNION ALL SELECT 'concept', doc_id, concept_id, count(*) FROM (SELECT DISTINCT doc_id, seg_no, concept_id FROM {m.t(p + 'auto_events')}) AS v GROUP BY doc_id, concept_id
+      UNION ALL SELECT 'operator', doc_id, concept_id, count(*) FROM (SELECT DISTINCT doc_id, seg_no, concept_id FROM {m.t(p + 'auto_events')} WHERE {operator}) AS v GROUP BY doc_id, concept_id"""
+
+
+@derived("postings", keep=True)
 def _(m):
-    """Concept tokens as terms of a second field."""
-    return f"SELECT doc_id, replace(concept_id, '.', '__') AS term FROM {m.t('auto_events')}"
+    return field_terms(m, "", f"doc_id, term, tf AS n FROM {m.t('tf')}")
 
 
-@derived("canon_query")
+@derived("query_parts")
 def _(m):
-    return f"SELECT q.item_id, replace(k.concept_id, '.', '__') AS term, q.qtf FROM {m.t('qtf')} AS q JOIN {m.t('matcher')} AS k ON k.key = q.term AND k.mode = 'auto'"
+    return field_terms(m, "q_", f"item_id AS doc_id, term, qtf AS n FROM {m.t('qtf')}")
 
 
-@derived("canon_score")
+@derived("arm_parts", keep=True)
 def _(m):
-    tf = f"(SELECT doc_id, term, count(*) AS tf FROM {m.t('canon_terms')} GROUP BY doc_id, term)"
-    dl = f"(SELECT doc_id, count(*) AS dl FROM {m.t('canon_terms')} GROUP BY doc_id)"
-    df = f"(SELECT term, count(DISTINCT doc_id) AS df FROM {m.t('canon_terms')} GROUP BY term)"
-    return f"""SELECT q.item_id, p.doc_id, round(sum(q.qtf * ln(1 + (s.n - f.df + 0.5e0) / (f.df + 0.5e0)) * p.tf * {K1 + 1}e0 / (p.tf + {K1}e0 * (1 - {B}e0 + {B}e0 * l.dl / s.avgdl))), 6) AS score
-      FROM {m.t('canon_query')} AS q JOIN {tf} AS p ON p.term = q.term JOIN {df} AS f ON f.term = q.term JOIN {dl} AS l ON l.doc_id = p.doc_id CROSS JOIN (SELECT count(*) AS n, avg(dl) AS avgdl FROM {dl} AS y) AS s GROUP BY q.item_id, p.doc_id"""
+    """item_id, arm, field, term, weight: all parts of the queries of all arms."""
+    weights = " UNION ALL ".join(f"SELECT '{arm}' AS arm, '{field}' AS field, {w}e0 AS weight" for arm, fields in ARMS.items() for field, w in fields.items())
+    forms = f"(SELECT DISTINCT v.doc_id, f.form FROM {m.t('q_auto_events')} AS v JOIN {m.t('forms')} AS f ON f.concept_id = v.concept_id AND f.policy = 'auto' AND f.kind <> 'observed')"
+    more = f"(SELECT doc_id, {m.explode(m.rx_all('lower(form)', T.WORD), 'term')} FROM {forms} AS a)"
+    return f"""SELECT item_id, arm, field, term, sum(weight) AS weight FROM (
+      SELECT q.doc_id AS item_id, w.arm, q.field, q.term, w.weight * q.n AS weight FROM {m.t('query_parts')} AS q JOIN ({weights}) AS w ON w.field = q.field
+      UNION ALL SELECT doc_id, 'B', 'raw', term, {EXPANSION}e0 FROM {more} AS x) AS u GROUP BY item_id, arm, field, term"""
+
+
+@derived("contributions")
+def _(m):
+    """item_id, doc_id and a column for each arm: query terms meet postings once for all arms."""
+    arms = ", ".join(f"sum(CASE WHEN arm = '{a}' THEN weight ELSE 0e0 END) AS w_{a}" for a in ARMS)
+    parts = f"(SELECT item_id, field, term, {arms} FROM {m.t('arm_parts')} AS a GROUP BY item_id, field, term)"
+    df = f"(SELECT field, term, count(*) AS df FROM {m.t('postings')} AS p GROUP BY field, term)"
+    dl = f"(SELECT field, doc_id, sum(n) AS dl FROM {m.t('postings')} AS p GROUP BY field, doc_id)"
+    sums = f"(SELECT y.field, x.n, sum(y.dl) / max(x.n * 1e0) AS avgdl FROM {dl} AS y CROSS JOIN (SELECT count(*) AS n FROM {m.t('documents')}) AS x GROUP BY y.field, x.n)"
+    one = f"ln(1 + (s.n - f.df + 0.5e0) / (f.df + 0.5e0)) * p.n * {K1 + 1}e0 / (p.n + {K1}e0 * (1 - {B}e0 + {B}e0 * l.dl / s.avgdl))"
+    return f"""SELECT item_id, doc_id, {', '.join(f'sum(w_{a} * one) AS {a}' for a in ARMS)} FROM (
+      SELECT q.item_id, p.doc_id, {', '.join(f'q.w_{a}' for a in ARMS)}, {one} AS one FROM {parts} AS q JOIN {m.t('postings')} AS p ON p.field = q.field AND p.term = q.term
+      JOIN {df} AS f ON f.field = q.field AND f.term = q.term JOIN {dl} AS l ON l.field = p.field AND l.doc_id = p.doc_id JOIN {sums} AS s ON s.field = q.field) AS z GROUP BY item_id, doc_id"""
+
+
+@derived("arm_ranked", keep=True)
+def _(m):
+    arms = " UNION ALL ".join(f"SELECT '{a}' AS arm" for a in ARMS)
+    own = "CASE x.arm " + " ".join(f"WHEN '{a}' THEN round(c.{a}, 5)" for a in ARMS) + " END"
+    every = f"SELECT c.item_id, x.arm, c.doc_id, {own} AS score FROM {m.t('contributions')} AS c CROSS JOIN ({arms}) AS x"
+    return f"SELECT item_id, arm, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, arm ORDER BY score DESC, doc_id) AS rank FROM ({every}) AS u WHERE score > 0) AS r WHERE rank <= 50"
 
 
 @derived("fielded")
 def _(m):
-    return f"""SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
-      SELECT item_id, doc_id, round(sum(w * score), 5) AS score FROM (SELECT item_id, doc_id, 3 AS w, score FROM {m.t('bm25')} UNION ALL SELECT item_id, doc_id, 2, score FROM {m.t('canon_score')}) AS u GROUP BY item_id, doc_id) AS c) AS r WHERE rank <= 50"""
+    return f"SELECT item_id, doc_id, score, rank FROM {m.t('arm_ranked')} AS r WHERE arm = 'D'"
+
+
+@derived("arm_metrics")
+def _(m):
+    """Metrics of each item and arm, with whether the arm found nothing."""
+    ideal = f"(SELECT item_id, count(*) AS relevant, sum(CASE WHEN k <= 10 THEN 1e0 / log2(k + 1) ELSE 0e0 END) AS ideal FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM {m.t('qrels')}) AS i GROUP BY item_id)"
+    arms = " UNION ALL ".join(f"SELECT '{a}' AS arm" for a in ARMS)
+    found = f"(SELECT r.item_id, r.arm, CASE WHEN l.doc_id IS NOT NULL THEN r.rank END AS rank FROM {m.t('arm_ranked')} AS r LEFT JOIN {m.t('qrels')} AS l ON l.item_id = r.item_id AND l.doc_id = r.doc_id)"
+    return f"""{METRICS}, a.arm, CASE WHEN count(r.item_id) = 0 THEN 1 ELSE 0 END AS zero_result FROM {ideal} AS q CROSS JOIN ({arms}) AS a LEFT JOIN {found} AS r ON r.item_id = q.item_id AND r.arm = a.arm GROUP BY q.item_id, a.arm"""
 
 
 @query("r_fielded")
@@ -127,44 +199,58 @@ def _(m):
 
 @query("e_arms")
 def _(m):
-    return f"""SELECT item_id, 'A' AS arm, term, {m.dbl('qtf')} AS weight FROM {m.t('qtf')} UNION ALL SELECT item_id, 'D', term, 2e0 * sum(qtf) FROM {m.t('canon_query')} GROUP BY item_id, term
-      UNION ALL SELECT q.item_id, 'B', f.form, 0.5e0 * sum(q.qtf) FROM {m.t('qtf')} AS q JOIN {m.t('matcher')} AS k ON k.key = q.term AND k.mode = 'auto' JOIN {m.t('forms')} AS f ON f.concept_id = k.concept_id AND f.policy = 'auto' GROUP BY q.item_id, f.form"""
+    return f"SELECT item_id, arm, field, term, round(weight, 6) AS weight FROM {m.t('arm_parts')} AS a"
 
 
 @query("e_retrieval")
 def _(m):
-    return f"""SELECT 'raw' AS arm, count(*) AS queries, round(avg(mrr_10), 5) AS mrr, round(avg(ndcg_10), 5) AS ndcg FROM {metrics(m)} AS x UNION ALL SELECT 'fielded', count(*), round(avg(mrr_10), 5), round(avg(ndcg_10), 5) FROM {metrics(m, 'fielded')} AS x"""
+    """Each arm over the items that some document answers, and how often it finds nothing."""
+    return f"SELECT arm, count(*) AS queries, {', '.join(f'round(avg(recall_{k}), 5) AS recall_{k}' for k in CUTOFFS)}, round(avg(precision_5), 5) AS precision_5, round(avg(mrr_10), 5) AS mrr, round(avg(ndcg_10), 5) AS ndcg, {m.big('sum(zero_result)')} AS abstained FROM {m.t('arm_metrics')} AS x GROUP BY arm"
 
 
 @query("e_ablation_summary")
 def _(m):
-    return f"""SELECT arm, stratum, count(*) AS n, round(avg(mrr_10), 5) AS mrr FROM (SELECT 'raw' AS arm, CASE WHEN relevant > 1 THEN 'many' ELSE 'one' END AS stratum, mrr_10 FROM {metrics(m)} AS x UNION ALL SELECT 'fielded', CASE WHEN relevant > 1 THEN 'many' ELSE 'one' END, mrr_10 FROM {metrics(m, 'fielded')} AS x) AS y GROUP BY GROUPING SETS ((arm), (arm, stratum))"""
+    return f"""SELECT arm, stratum, count(*) AS n, round(avg(mrr_10), 5) AS mrr, round(avg(recall_10), 5) AS recall_10 FROM (SELECT arm, CASE WHEN relevant > 1 THEN 'many' ELSE 'one' END AS stratum, mrr_10, recall_10 FROM {m.t('arm_metrics')} AS x) AS y GROUP BY GROUPING SETS ((arm), (arm, stratum))"""
+
+
+def against_raw(m) -> str:
+    """item_id, arm, raw, own, delta: each arm but A against A."""
+    return f"(SELECT a.item_id, b.arm, a.mrr_10 AS raw, b.mrr_10 AS own, round(b.mrr_10 - a.mrr_10, 6) AS delta FROM {m.t('arm_metrics')} AS a JOIN {m.t('arm_metrics')} AS b ON a.item_id = b.item_id AND a.arm = 'A' AND b.arm <> 'A')"
 
 
 @query("e_ablation")
 def _(m):
-    return f"SELECT a.item_id, a.mrr_10 AS raw, b.mrr_10 AS fielded, round(b.mrr_10 - a.mrr_10, 6) AS delta FROM {metrics(m)} AS a JOIN {metrics(m, 'fielded')} AS b ON a.item_id = b.item_id"
+    return f"SELECT item_id, arm, raw, own, delta FROM {against_raw(m)} AS x"
 
 
 @query("o_regressions")
 def _(m):
-    return f"SELECT a.item_id, round(a.mrr_10 - b.mrr_10, 6) AS fall FROM {metrics(m)} AS a JOIN {metrics(m, 'fielded')} AS b ON a.item_id = b.item_id ORDER BY fall DESC, item_id LIMIT 20"
+    return f"SELECT item_id, arm, -delta AS fall FROM {against_raw(m)} AS x WHERE delta < 0 ORDER BY fall DESC, item_id, arm LIMIT 20"
+
+
+@query("e_literal_regressions")
+def _(m):
+    """Items whose own words found an answer among the first ten documents that an arm puts further back or loses."""
+    first = f"(SELECT r.item_id, r.arm, min(r.rank) AS first FROM {m.t('arm_ranked')} AS r JOIN {m.t('qrels')} AS l ON l.item_id = r.item_id AND l.doc_id = r.doc_id GROUP BY r.item_id, r.arm)"
+    arms = " UNION ALL ".join(f"SELECT '{a}' AS arm" for a in ARMS if a != "A")
+    return f"""SELECT a.item_id, x.arm, a.first AS raw_rank, b.first AS own_rank FROM {first} AS a CROSS JOIN ({arms}) AS x LEFT JOIN {first} AS b ON b.item_id = a.item_id AND b.arm = x.arm
+      WHERE a.arm = 'A' AND a.first <= 10 AND coalesce(b.first, 51) > a.first"""
 
 
 @derived("deltas")
 def _(m):
-    """Numbered gains of the fielded arm over the raw one."""
-    return f"SELECT row_number() OVER (ORDER BY a.item_id) - 1 AS place, count(*) OVER () AS n, b.mrr_10 - a.mrr_10 AS delta FROM {metrics(m)} AS a JOIN {metrics(m, 'fielded')} AS b ON a.item_id = b.item_id"
+    """Numbered gains of each arm over the raw one."""
+    return f"SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY arm) AS n, own - raw AS delta FROM {against_raw(m)} AS x"
 
 
 @query("e_bootstrap")
 def _(m):
-    """Means of resampled deltas, drawn by a digest of seed, replicate and place; their 2.5 and 97.5 percentiles by nearest rank, half to even. n is the number of resamples."""
+    """Means of resampled deltas by arm, drawn by a digest of seed, replicate and place; their 2.5 and 97.5 percentiles by nearest rank, half to even. n is the number of resamples."""
     draw = m.hashed(f"concat('{SEED}:', {m.text('r.rep')}, ':', {m.text('d.place')})")
-    draws = f"(SELECT r.rep, {m.big(f'{draw} % d.n')} AS pick FROM {m.numbers(0, RESAMPLES - 1, 'rep')} AS r CROSS JOIN {m.t('deltas')} AS d)"
+    draws = f"(SELECT r.rep, d.arm, {m.big(f'{draw} % d.n')} AS pick FROM {m.numbers(0, RESAMPLES - 1, 'rep')} AS r CROSS JOIN {m.t('deltas')} AS d)"
     ends = [m.half_even(f"(c - 1) * {p}e0") for p in (0.025, 0.975)]
-    return f"""SELECT coalesce(round(min(CASE WHEN k - 1 = {ends[0]} THEN mean END), 5), 0e0) AS low, coalesce(round(min(CASE WHEN k - 1 = {ends[1]} THEN mean END), 5), 0e0) AS high, count(*) AS n FROM (
-      SELECT mean, row_number() OVER (ORDER BY mean, rep) AS k, count(*) OVER () AS c FROM (SELECT w.rep, round(avg(v.delta), 9) AS mean FROM {draws} AS w JOIN {m.t('deltas')} AS v ON v.place = w.pick GROUP BY w.rep) AS a) AS b"""
+    return f"""SELECT arm, coalesce(round(min(CASE WHEN k - 1 = {ends[0]} THEN mean END), 5), 0e0) AS low, coalesce(round(min(CASE WHEN k - 1 = {ends[1]} THEN mean END), 5), 0e0) AS high, count(*) AS n FROM (
+      SELECT arm, mean, row_number() OVER (PARTITION BY arm ORDER BY mean, rep) AS k, count(*) OVER (PARTITION BY arm) AS c FROM (SELECT w.arm, w.rep, round(avg(v.delta), 9) AS mean FROM {draws} AS w JOIN {m.t('deltas')} AS v ON v.place = w.pick AND v.arm = w.arm GROUP BY w.arm, w.rep) AS a) AS b GROUP BY arm"""
 
 
 @query("a_percentile")
@@ -182,7 +268,10 @@ def _(m):
 
 @query("e_grep_gate")
 def _(m):
-    return f"""SELECT b.item_id, count(d.doc_id) AS hits FROM {m.t('benchmark')} AS b LEFT JOIN {m.t('documents')} AS d ON position(lower(b.text) IN lower(d.text)) > 0 GROUP BY b.item_id"""
+    """Hits of a search for the whole text, whatever the case, in documents as they are and in those whose text some arm finds among the first ten."""
+    beside = f"(SELECT g.item_id, count(DISTINCT g.doc_id) AS hits FROM {m.t('grepped')} AS g JOIN {m.t('fielded')} AS r ON r.item_id = g.item_id AND r.doc_id = g.doc_id AND r.rank <= 10 GROUP BY g.item_id)"
+    raw = f"(SELECT item_id, count(*) AS hits FROM {m.t('grepped')} AS g GROUP BY item_id)"
+    return f"""SELECT b.item_id, coalesce(r.hits, 0) AS hits, coalesce(x.hits, 0) AS indexed, CASE WHEN r.hits IS NULL THEN 'none' WHEN r.hits > 1 THEN 'many' ELSE 'one' END AS stratum FROM {m.t('benchmark')} AS b LEFT JOIN {raw} AS r ON r.item_id = b.item_id LEFT JOIN {beside} AS x ON x.item_id = b.item_id"""
 
 
 @query("e_snippet_pack")

@@ -6,20 +6,60 @@ from lexloom import lexicon
 from lexloom.plans.registry import query
 from lexloom.plans.tables import derived
 
-
-@derived("auto_events")
-def _(m):
-    return f"SELECT v.doc_id, v.seg_no, v.seg_start, v.s, v.e, v.n, v.key, v.concept_id, v.lang, c.semantic_class FROM {m.t('events')} AS v JOIN {m.t('concepts')} AS c ON v.concept_id = c.concept_id WHERE v.mode = 'auto'"
-
-
-@derived("seg_lang")
-def _(m):
-    lone = f"(SELECT word, min(lang) AS lang FROM {m.t('function_words')} GROUP BY word HAVING count(DISTINCT lang) = 1)"
-    return f"""SELECT doc_id, seg_no, en, es, CASE WHEN en + es = 0 THEN 'unknown' WHEN least(en, es) * 2 >= greatest(en, es) THEN 'mixed' WHEN en > es THEN 'en' ELSE 'es' END AS language FROM (
-      SELECT doc_id, seg_no, {m.big("sum(CASE WHEN lang = 'en' THEN weight ELSE 0 END)")} AS en, {m.big("sum(CASE WHEN lang = 'es' THEN weight ELSE 0 END)")} AS es FROM (
-        SELECT doc_id, seg_no, lang, 2 AS weight FROM {m.t('auto_events')}
-        UNION ALL SELECT t.doc_id, t.seg_no, f.lang, 1 FROM {m.t('tokens')} AS t JOIN {lone} AS f ON t.key = f.word
-        UNION ALL SELECT doc_id, seg_no, 'none', 0 FROM {m.t('segments')}) AS w GROUP BY doc_id, seg_no) AS x"""
+#: The temporal concept that puts what follows it first.
+AFTER = "after"
+
+
+def canonical(p: str) -> None:
+    """Automatic events, languages, replacements and canonical text of documents (no prefix) or queries (q_)."""
+
+    @derived(f"{p}auto_events", keep=bool(p))
+    def _(m):
+        return f"SELECT v.doc_id, v.seg_no, v.seg_start, v.s, v.e, v.n, v.key, v.concept_id, v.lang, c.semantic_class FROM {m.t(p + 'events')} AS v JOIN {m.t('concepts')} AS c ON v.concept_id = c.concept_id WHERE v.mode = 'auto'"
+
+    @derived(f"{p}seg_lang")
+    def _(m):
+        lone = f"(SELECT word, min(lang) AS lang FROM {m.t('function_words')} GROUP BY word HAVING count(DISTINCT lang) = 1)"
+        return f"""SELECT doc_id, seg_no, en, es, CASE WHEN en + es = 0 THEN 'unknown' WHEN least(en, es) * 2 >= greatest(en, es) THEN 'mixed' WHEN en > es THEN 'en' ELSE 'es' END AS language FROM (
+          SELECT doc_id, seg_no, {m.big("sum(CASE WHEN lang = 'en' THEN weight ELSE 0 END)")} AS en, {m.big("sum(CASE WHEN lang = 'es' THEN weight ELSE 0 END)")} AS es FROM (
+            SELECT doc_id, seg_no, lang, 2 AS weight FROM {m.t(p + 'auto_events')}
+            UNION ALL SELECT t.doc_id, t.seg_no, f.lang, 1 FROM {m.t(p + 'tokens')} AS t JOIN {lone} AS f ON t.key = f.word
+            UNION ALL SELECT doc_id, seg_no, 'none', 0 FROM {m.t(p + 'segments')}) AS w GROUP BY doc_id, seg_no) AS x"""
+
+    @derived(f"{p}proposed")
+    def _(m):
+        """Automatic events with the text that a rewrite would put in their place."""
+        return f"""SELECT v.doc_id, v.seg_no, v.seg_start, v.s, v.e, v.key, v.concept_id, v.semantic_class, g.line, substring(g.line, v.s + 1, v.e - v.s) AS original, coalesce(f.form, substring(g.line, v.s + 1, v.e - v.s)) AS replacement
+          FROM {m.t(p + 'auto_events')} AS v JOIN {m.t(p + 'segments')} AS g ON g.doc_id = v.doc_id AND g.seg_no = v.seg_no JOIN {m.t(p + 'seg_lang')} AS l ON l.doc_id = v.doc_id AND l.seg_no = v.seg_no
+          LEFT JOIN {m.t('first_surface')} AS f ON f.concept_id = v.concept_id AND f.lang = CASE WHEN v.lang = 'shared' THEN l.language ELSE v.lang END"""
+
+    @derived(f"{p}judged")
+    def _(m):
+        """Whether a rewrite keeps the sentence: no fragment, no lost copula, no change of one word for its opposite, no token of numbers, names or marks lost."""
+        old, new = m.words("lower(original)"), m.words("lower(replacement)")
+        has = lambda words, word: m.has(words, word)
+        crossed = " OR ".join(
+            f"((({has('old', a)} AND {has('new', b)}) OR ({has('old', b)} AND {has('new', a)})) AND NOT ({has('old', a)} AND {has('old', b)} AND {has('new', a)} AND {has('new', b)}))"
+            for a, b in ((repr(x), repr(y)) for x, y in lexicon.ANTONYMS)
+        )
+        short = f"{m.size('new')} < {m.size('old')} AND substring(lower(original), 1, length(replacement)) = lower(replacement) AND {m.at('new', m.size('new'))} IN (SELECT word FROM {m.t('dangling')})"
+        copula = f"{m.at('old', '1')} IN (SELECT word FROM {m.t('copulas')}) AND {m.at('new', '1')} NOT IN (SELECT word FROM {m.t('copulas')})"
+        marked = m.rx("x", "[0-9_@/<>{}$%`]|[.].|^-")
+        lost = f"{m.size(m.filter('old', 'x', f'{marked} AND NOT ' + has('new', 'x')))} > 0"
+        return f"""SELECT doc_id, seg_no, seg_start, s, e, key, concept_id, semantic_class, line, original, replacement,
+          CASE WHEN {short} THEN 'dangling' WHEN {copula} THEN 'copula' WHEN {crossed} THEN 'antonym' WHEN {lost} THEN 'protected' ELSE 'safe' END AS verdict
+          FROM (SELECT *, {old} AS old, {new} AS new FROM {m.t(p + 'proposed')} AS v) AS w"""
+
+    @derived(f"{p}replaced")
+    def _(m):
+        """What each event is rewritten to: itself where the rewrite is not safe."""
+        return f"SELECT doc_id, seg_no, seg_start, s, e, key, concept_id, semantic_class, line, original, CASE WHEN verdict = 'safe' THEN replacement ELSE original END AS replacement FROM {m.t(p + 'judged')} AS j"
+
+    @derived(f"{p}canonical")
+    def _(m):
+        pieces = f"(SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id, seg_no ORDER BY s), 0) AS before FROM {m.t(p + 'replaced')})"
+        return f"""SELECT doc_id, seg_no, concat(head, substring(line, reach + 1)) AS canonical_text FROM (
+          SELECT doc_id, seg_no, max(line) AS line, max(e) AS reach, {m.all_of('concat(substring(line, before + 1, s - before), replacement)', 's', '')} AS head FROM {pieces} AS r GROUP BY doc_id, seg_no) AS p"""
 
 
 @derived("first_surface")
@@ -27,19 +67,8 @@ def _(m):
     return f"""SELECT concept_id, lang, form FROM (SELECT *, row_number() OVER (PARTITION BY concept_id, lang ORDER BY CASE WHEN kind = 'pref' THEN 0 ELSE 1 END, ord) AS rn FROM {m.t('forms')} WHERE policy = 'auto' AND kind <> 'observed') AS f WHERE rn = 1"""
 
 
-@derived("replaced")
-def _(m):
-    return f"""SELECT v.doc_id, v.seg_no, v.seg_start, v.s, v.e, v.key, v.concept_id, v.semantic_class, substring(g.line, v.s + 1, v.e - v.s) AS original, coalesce(f.form, substring(g.line, v.s + 1, v.e - v.s)) AS replacement
-      FROM {m.t('auto_events')} AS v JOIN {m.t('segments')} AS g ON g.doc_id = v.doc_id AND g.seg_no = v.seg_no JOIN {m.t('seg_lang')} AS l ON l.doc_id = v.doc_id AND l.seg_no = v.seg_no
-      LEFT JOIN {m.t('first_surface')} AS f ON f.concept_id = v.concept_id AND f.lang = CASE WHEN v.lang = 'shared' THEN l.language ELSE v.lang END"""
-
-
-@derived("canonical")
-def _(m):
-    pieces = f"(SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id, seg_no ORDER BY s), 0) AS before FROM {m.t('replaced')})"
-    return f"""SELECT g.doc_id, g.seg_no, concat(p.head, substring(g.line, p.reach + 1)) AS canonical_text FROM {m.t('segments')} AS g JOIN (
-      SELECT r.doc_id, r.seg_no, max(r.e) AS reach, {m.all_of('concat(substring(h.line, r.before + 1, r.s - r.before), r.replacement)', 'r.s', '')} AS head FROM {pieces} AS r JOIN {m.t('segments')} AS h ON h.doc_id = r.doc_id AND h.seg_no = r.seg_no GROUP BY r.doc_id, r.seg_no) AS p
-      ON p.doc_id = g.doc_id AND p.seg_no = g.seg_no"""
+canonical("")
+canonical("q_")
 
 
 @query("p_language")
@@ -70,29 +99,46 @@ def _(m):
 
 @query("f_mutates_protected")
 def _(m):
-    return f"SELECT doc_id, seg_no, s, e FROM {m.t('replaced')} WHERE {m.rx('original', '[0-9]')} AND position({m.rx_get('original', '([0-9]+)')} IN replacement) = 0"
+    """Events whose proposed rewrite would lose protected text that they hold."""
+    return f"SELECT doc_id, seg_no, s, e FROM {m.t('judged')} AS j WHERE verdict = 'protected'"
 
 
 @query("f_rewrite_safe")
 def _(m):
-    last = f"split_part(original, ' ', {'-1'})"
-    return f"""SELECT doc_id, seg_no, s, e, CASE WHEN lower({last}) IN (SELECT word FROM {m.t('stop_words')}) AND length(replacement) < length(original) THEN 'dangling' WHEN lower(split_part(original, ' ', 1)) IN ('is', 'are', 'was') AND lower(split_part(replacement, ' ', 1)) NOT IN ('is', 'are', 'was') THEN 'copula' ELSE 'safe' END AS verdict FROM {m.t('replaced')}"""
+    return f"SELECT doc_id, seg_no, s, e, verdict FROM {m.t('judged')} AS j"
+
+
+def tokens_of(m, p=""):
+    """doc_id, seg_no, concept_tokens, operator_tokens."""
+    return f"""(SELECT doc_id, seg_no, {m.set_of("concat('c__', replace(concept_id, '.', '__'))", ' ')} AS concept_tokens, {m.set_of("CASE WHEN semantic_class IN ('modality', 'polarity', 'temporal', 'condition', 'quantity') THEN concat(semantic_class, '__', split_part(concept_id, '.', 2)) END", ' ')} AS operator_tokens FROM {m.t(p + 'auto_events')} GROUP BY doc_id, seg_no)"""
 
 
 @query("p_tokens")
 def _(m):
-    return f"""SELECT doc_id, seg_no, {m.set_of("concat('c__', replace(concept_id, '.', '__'))", ' ')} AS concept_tokens, {m.set_of("CASE WHEN semantic_class IN ('modality', 'polarity', 'temporal', 'condition', 'quantity') THEN concat(semantic_class, '__', split_part(concept_id, '.', 2)) END", ' ')} AS operator_tokens FROM {m.t('auto_events')} GROUP BY doc_id, seg_no"""
+    return f"SELECT doc_id, seg_no, concept_tokens, operator_tokens FROM {tokens_of(m)} AS k"
+
+
+@derived("surfaces")
+def _(m):
+    """By segment: all automatic forms of its concepts, those of its own language and those of others, shared ones with its own."""
+    form = lambda test: m.set_of(f"CASE WHEN {test} THEN f.form END", " ")
+    return f"""SELECT v.doc_id, v.seg_no, {m.set_of('f.form', ' ')} AS added, {form("f.lang = l.language OR f.lang = 'shared'")} AS same, {form("f.lang <> l.language AND f.lang <> 'shared'")} AS crossed
+      FROM (SELECT DISTINCT doc_id, seg_no, concept_id FROM {m.t('auto_events')}) AS v JOIN {m.t('seg_lang')} AS l ON l.doc_id = v.doc_id AND l.seg_no = v.seg_no
+      JOIN {m.t('forms')} AS f ON f.concept_id = v.concept_id AND f.policy = 'auto' AND f.kind <> 'observed' GROUP BY v.doc_id, v.seg_no"""
 
 
 @query("p_text_expanded")
 def _(m):
-    return f"""SELECT v.doc_id, v.seg_no, {m.set_of('f.form', ' ')} AS added FROM (SELECT DISTINCT doc_id, seg_no, concept_id FROM {m.t('auto_events')}) AS v JOIN {m.t('forms')} AS f ON f.concept_id = v.concept_id AND f.policy = 'auto' AND f.kind <> 'observed' GROUP BY v.doc_id, v.seg_no"""
+    """The line, all automatic forms of its concepts, and its concept tokens, in one text."""
+    return f"""SELECT g.doc_id, g.seg_no, concat_ws(' ', g.line, nullif(s.added, ''), nullif(k.concept_tokens, '')) AS expanded FROM {m.t('segments')} AS g
+      LEFT JOIN {m.t('surfaces')} AS s ON s.doc_id = g.doc_id AND s.seg_no = g.seg_no LEFT JOIN {tokens_of(m)} AS k ON k.doc_id = g.doc_id AND k.seg_no = g.seg_no"""
 
 
 @query("p_search_fields")
 def _(m):
-    return f"""SELECT v.doc_id, v.seg_no, {m.set_of("CASE WHEN f.lang = l.language THEN f.form END", ' ')} AS same, {m.set_of("CASE WHEN f.lang <> l.language THEN f.form END", ' ')} AS crossed FROM (SELECT DISTINCT doc_id, seg_no, concept_id FROM {m.t('auto_events')}) AS v
-      JOIN {m.t('seg_lang')} AS l ON l.doc_id = v.doc_id AND l.seg_no = v.seg_no JOIN {m.t('forms')} AS f ON f.concept_id = v.concept_id AND f.policy = 'auto' GROUP BY v.doc_id, v.seg_no"""
+    """Fields by segment: the line, forms of its own language, forms of other languages, concept tokens."""
+    return f"""SELECT g.doc_id, g.seg_no, g.line AS raw, coalesce(s.same, '') AS same, coalesce(s.crossed, '') AS crossed, coalesce(k.concept_tokens, '') AS concepts FROM {m.t('segments')} AS g
+      LEFT JOIN {m.t('surfaces')} AS s ON s.doc_id = g.doc_id AND s.seg_no = g.seg_no LEFT JOIN {tokens_of(m)} AS k ON k.doc_id = g.doc_id AND k.seg_no = g.seg_no"""
 
 
 @query("p_preferred")
@@ -121,51 +167,85 @@ def _(m):
     return f"""SELECT doc_id, seg_no, count(*) AS gaps, {m.big('sum(s - before)')} AS points FROM (SELECT doc_id, seg_no, s, coalesce(lag(e) OVER (PARTITION BY doc_id, seg_no ORDER BY s), 0) AS before FROM {m.t('auto_events')}) AS x WHERE s - before > 1 GROUP BY doc_id, seg_no"""
 
 
+@derived("uncertain")
+def _(m):
+    """Segments with a word that joins parts or points back: the grammar abstains there."""
+    return f"SELECT t.doc_id, t.seg_no, count(*) AS hints FROM {m.t('tokens')} AS t JOIN {m.t('hedges')} AS h ON h.word = t.key GROUP BY t.doc_id, t.seg_no"
+
+
 @query("f_abstain")
 def _(m):
-    return f"SELECT doc_id, seg_no, count(*) AS hints FROM {m.t('tokens')} WHERE key IN ('and', 'or', 'it', 'this', 'y', 'o', 'se') GROUP BY doc_id, seg_no"
+    return f"SELECT doc_id, seg_no, hints FROM {m.t('uncertain')} AS u"
+
+
+@derived("units")
+def _(m):
+    """Automatic events of segments where the grammar does not abstain."""
+    return f"SELECT v.* FROM {m.t('auto_events')} AS v WHERE NOT EXISTS (SELECT 1 FROM {m.t('uncertain')} AS u WHERE u.doc_id = v.doc_id AND u.seg_no = v.seg_no)"
 
 
 @derived("classed")
 def _(m):
     one = lambda c: f"count(CASE WHEN semantic_class = '{c}' THEN 1 END)"
-    at = lambda c, f: f"{f}(CASE WHEN semantic_class = '{c}' THEN s END)"
-    return f"""SELECT doc_id, seg_no, {one('action')} AS actions, {one('actor')} AS actors, {one('entity')} AS entities, {one('condition')} AS conditions, {one('temporal')} AS temporals, {one('quantity')} AS quantities, {one('modality')} AS modals,
-      {at('action', 'min')} AS action_at, {at('action', 'max')} AS action_last, {at('actor', 'min')} AS actor_at, {at('entity', 'max')} AS entity_at, {at('temporal', 'min')} AS temporal_at, {at('condition', 'min')} AS condition_at FROM {m.t('auto_events')} GROUP BY doc_id, seg_no"""
+    at = lambda c, f, x='s': f"{f}(CASE WHEN semantic_class = '{c}' THEN {x} END)"
+    return f"""SELECT doc_id, seg_no, {one('action')} AS actions, {one('entity')} AS entities, {one('condition')} AS conditions, {one('temporal')} AS temporals, {one('quantity')} AS quantities,
+      {at('action', 'min')} AS action_at, {at('action', 'min', 'e')} AS action_end, {at('action', 'max')} AS action_last, {at('action', 'max', 'e')} AS last_end, {at('temporal', 'min')} AS temporal_at, {at('temporal', 'min', 'e')} AS temporal_end,
+      {at('temporal', 'min', 'concept_id')} AS temporal_id, {at('condition', 'min')} AS condition_at FROM {m.t('units')} AS v GROUP BY doc_id, seg_no"""
 
 
 @query("m_actor_object")
 def _(m):
-    return f"""SELECT doc_id, seg_no, 'actor_of' AS relation, actor_at AS source, action_at AS target FROM {m.t('classed')} WHERE actions = 1 AND actors = 1 AND actor_at < action_at
-      UNION ALL SELECT doc_id, seg_no, 'object_of', entity_at, action_at FROM {m.t('classed')} WHERE actions = 1 AND entities = 1 AND entity_at > action_at"""
+    """With one action: the only actor that ends before it, the only entity that starts after it."""
+    sides = f"""(SELECT v.doc_id, v.seg_no, min(k.action_at) AS action_at, count(CASE WHEN v.semantic_class = 'actor' AND v.e <= k.action_at THEN 1 END) AS actors, max(CASE WHEN v.semantic_class = 'actor' AND v.e <= k.action_at THEN v.s END) AS actor_at,
+      count(CASE WHEN v.semantic_class = 'entity' AND v.s >= k.action_end THEN 1 END) AS things, min(CASE WHEN v.semantic_class = 'entity' AND v.s >= k.action_end THEN v.s END) AS thing_at
+      FROM {m.t('units')} AS v JOIN {m.t('classed')} AS k ON k.doc_id = v.doc_id AND k.seg_no = v.seg_no WHERE k.actions = 1 GROUP BY v.doc_id, v.seg_no)"""
+    return f"""SELECT doc_id, seg_no, 'actor_of' AS relation, actor_at AS source, action_at AS target FROM {sides} AS a WHERE actors = 1
+      UNION ALL SELECT doc_id, seg_no, 'object_of', thing_at, action_at FROM {sides} AS b WHERE things = 1"""
 
 
 @query("m_condition")
 def _(m):
-    return f"SELECT v.doc_id, v.seg_no, v.s AS source, k.action_at AS target FROM {m.t('auto_events')} AS v JOIN {m.t('classed')} AS k ON k.doc_id = v.doc_id AND k.seg_no = v.seg_no WHERE v.semantic_class = 'condition' AND k.actions = 1"
+    return f"SELECT v.doc_id, v.seg_no, v.s AS source, k.action_at AS target FROM {m.t('units')} AS v JOIN {m.t('classed')} AS k ON k.doc_id = v.doc_id AND k.seg_no = v.seg_no WHERE v.semantic_class = 'condition' AND k.actions = 1"
 
 
 @query("m_polarity_modality")
 def _(m):
-    return f"""SELECT a.doc_id, a.seg_no, CASE WHEN a.semantic_class = 'polarity' THEN 'negates' ELSE 'modality' END AS relation, a.s AS source, b.s AS target FROM {m.t('auto_events')} AS a JOIN {m.t('auto_events')} AS b ON b.doc_id = a.doc_id AND b.seg_no = a.seg_no AND b.semantic_class = 'action'
-      WHERE (a.semantic_class = 'polarity' AND (abs(b.s - a.e) <= 4 OR abs(a.s - b.e) <= 4)) OR (a.semantic_class = 'modality' AND b.s - a.e BETWEEN 0 AND 4)"""
+    """With one action: polarity within four characters on either side of it, modality that ends within four of its start."""
+    return f"""SELECT a.doc_id, a.seg_no, CASE WHEN a.semantic_class = 'polarity' THEN 'negates' ELSE 'modality' END AS relation, a.s AS source, k.action_at AS target FROM {m.t('units')} AS a JOIN {m.t('classed')} AS k ON k.doc_id = a.doc_id AND k.seg_no = a.seg_no
+      WHERE k.actions = 1 AND ((a.semantic_class = 'polarity' AND (abs(a.e - k.action_at) <= 4 OR abs(k.action_end - a.s) <= 4)) OR (a.semantic_class = 'modality' AND abs(a.e - k.action_at) <= 4))"""
+
+
+@derived("ordered")
+def _(m):
+    """Segments of two actions and one temporal marker: which action stands on its left and right side of the relation.
+
+    The marker stands between the two, or before both with the one comma of the line between them.
+    """
+    return f"""SELECT doc_id, seg_no, temporal_id, CASE WHEN infix THEN action_at WHEN prefix THEN action_last END AS one, CASE WHEN infix THEN action_last WHEN prefix THEN action_at END AS two FROM (
+      SELECT k.*, k.action_end <= k.temporal_at AND k.temporal_end <= k.action_last AS infix, k.temporal_end <= k.action_at AND length(g.line) - length(replace(g.line, ',', '')) = 1 AND position(',' IN g.line) - 1 BETWEEN k.action_end AND k.action_last - 1 AS prefix
+      FROM {m.t('classed')} AS k JOIN {m.t('segments')} AS g ON g.doc_id = k.doc_id AND g.seg_no = k.seg_no WHERE k.actions = 2 AND k.temporals = 1) AS x"""
 
 
 @query("m_temporal")
 def _(m):
-    return f"""SELECT doc_id, seg_no, 'before' AS relation, action_at AS source, action_last AS target FROM {m.t('classed')} WHERE actions = 2 AND temporals = 1 AND temporal_at > action_at AND temporal_at < action_last
-      UNION ALL SELECT doc_id, seg_no, 'after', action_last, action_at FROM {m.t('classed')} WHERE actions = 2 AND temporals = 1 AND temporal_at > action_at AND temporal_at < action_last
-      UNION ALL SELECT doc_id, seg_no, 'abstain', action_at, action_last FROM {m.t('classed')} WHERE actions > 2"""
+    """One relation each way; or that the grammar abstains: the marker's place is no known form, or there are more than two actions."""
+    after = f"temporal_id LIKE '%.{AFTER}'"
+    return f"""SELECT doc_id, seg_no, CASE WHEN {after} THEN 'after' ELSE 'before' END AS relation, one AS source, two AS target FROM {m.t('ordered')} AS a WHERE one IS NOT NULL
+      UNION ALL SELECT doc_id, seg_no, CASE WHEN {after} THEN 'before' ELSE 'after' END, two, one FROM {m.t('ordered')} AS b WHERE one IS NOT NULL
+      UNION ALL SELECT k.doc_id, k.seg_no, 'abstain', k.action_at, k.action_last FROM {m.t('classed')} AS k LEFT JOIN {m.t('ordered')} AS o ON o.doc_id = k.doc_id AND o.seg_no = k.seg_no
+        WHERE k.actions > 2 OR (k.actions = 2 AND k.temporals = 1 AND o.one IS NULL) OR (k.actions = 2 AND k.temporals <> 1 AND k.conditions <> 1)"""
 
 
 @query("m_condition_comma")
 def _(m):
-    return f"""SELECT k.doc_id, k.seg_no, k.condition_at AS source, k.action_last AS target, position(',' IN g.line) - 1 AS comma FROM {m.t('classed')} AS k JOIN {m.t('segments')} AS g ON g.doc_id = k.doc_id AND g.seg_no = k.seg_no WHERE k.actions = 2 AND k.conditions = 1 AND position(',' IN g.line) - 1 BETWEEN k.action_at AND k.action_last"""
+    """Two actions, no temporal marker, one condition before the first comma and one action after it: a condition of that one."""
+    return f"""SELECT doc_id, seg_no, source, target, comma FROM (SELECT k.doc_id, k.seg_no, k.condition_at AS source, k.action_last AS target, k.action_at, position(',' IN g.line) - 1 AS comma FROM {m.t('classed')} AS k JOIN {m.t('segments')} AS g ON g.doc_id = k.doc_id AND g.seg_no = k.seg_no
+      WHERE k.actions = 2 AND k.temporals <> 1 AND k.conditions = 1) AS x WHERE comma >= 0 AND source < comma AND action_at <= comma AND target > comma"""
 
 
 @query("m_quantity")
 def _(m):
-    return f"""SELECT a.doc_id, a.seg_no, a.s AS source, b.s AS target FROM {m.t('auto_events')} AS a JOIN {m.t('auto_events')} AS b ON b.doc_id = a.doc_id AND b.seg_no = a.seg_no JOIN {m.t('classed')} AS k ON k.doc_id = a.doc_id AND k.seg_no = a.seg_no
+    return f"""SELECT a.doc_id, a.seg_no, a.s AS source, b.s AS target FROM {m.t('units')} AS a JOIN {m.t('units')} AS b ON b.doc_id = a.doc_id AND b.seg_no = a.seg_no JOIN {m.t('classed')} AS k ON k.doc_id = a.doc_id AND k.seg_no = a.seg_no
       WHERE a.semantic_class = 'quantity' AND b.semantic_class = 'entity' AND k.quantities = 1 AND k.entities = 1 AND b.s - a.e BETWEEN 0 AND 2"""
 
 

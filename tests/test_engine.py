@@ -103,7 +103,7 @@ def test_term_frequency_of_all_terms(spark):
 def test_bootstrap_resamples_paired_deltas(spark):
     engine = Engine(spark, docs(spark, "x"))
     deltas = [0.0, 0.5, -0.25, 1.0, 0.1]
-    engine.dialect.frames["deltas"] = spark.createDataFrame([(k, len(deltas), d) for k, d in enumerate(deltas)], "place long, n long, delta double")
+    engine.dialect.frames["deltas"] = spark.createDataFrame([("B", k, len(deltas), d) for k, d in enumerate(deltas)], "arm string, place long, n long, delta double")
     draw = lambda rep, k: int(hashlib.md5(f"1729:{rep}:{k}".encode()).hexdigest()[:12], 16) % len(deltas)
     means = sorted(round(sum(deltas[draw(rep, k)] for k in range(5)) / 5, 9) for rep in range(2000))
     (row,) = engine.run("e_bootstrap").collect()
@@ -114,8 +114,9 @@ def test_bootstrap_resamples_paired_deltas(spark):
 def test_deltas_of_the_bootstrap_are_those_of_the_ablation(spark):
     engine = Engine(spark, docs(spark, "red fox runs", "of the hill", "blue whale of the sea"))
     engine.dialect.frames["benchmark"] = spark.createDataFrame([(1, "fox"), (2, "of the"), (3, "absent")], "item_id long, text string")
-    rows = engine.run("e_ablation").orderBy("item_id").collect()
-    assert [round(r.delta, 6) for r in engine.table("deltas").orderBy("place").collect()] == [r.delta for r in rows] and len(rows) == 2
+    rows = engine.run("e_ablation").orderBy("arm", "item_id").collect()
+    assert [(r.arm, round(r.delta, 6)) for r in engine.table("deltas").orderBy("arm", "place").collect()] == [(r.arm, r.delta) for r in rows]
+    assert [r.arm for r in rows] == ["B", "B", "C", "C", "D", "D", "E", "E"]
 
 
 def test_protected_families(spark):
@@ -192,3 +193,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["export", "skos", str(tmp_path / "skos")], spark) == 0
     assert spark.read.text(str(tmp_path / "skos")).count() > 50
     assert main(["normalize", str(tmp_path / "absent"), str(tmp_path / "x")], spark) == 2
+
+
+def test_matches_do_not_cross_protected_text(spark):
+    texts = ["see `of the` and of the sea", "go to [x](is/of the/a) is", "<b>of</b> the sea", "run --of-the now of"]
+    rows = Engine(spark, docs(spark, *texts)).table("events").collect()
+    found = {(r.doc_id, texts[r.doc_id][r.seg_start + r.s : r.seg_start + r.e]) for r in rows}
+    assert found == {(0, "and"), (0, "of the"), (1, "to"), (1, "is"), (2, "of"), (2, "the"), (3, "of")}
+    assert [r.s for r in rows if r.doc_id == 0 and r.key == "of the"] == [17]
+
+
+def test_unsafe_rewrites_are_not_done(spark):
+    forms = spark.createDataFrame(
+        [("a.near", "en", "afar", "pref", "auto", 0), ("a.near", "en", "near", "alt", "auto", 1), ("a.seen", "en", "seen", "pref", "auto", 0), ("a.seen", "en", "is seen", "alt", "auto", 1),
+         ("a.cut", "en", "part of", "pref", "auto", 0), ("a.cut", "en", "part of it", "alt", "auto", 1), ("a.num", "en", "rule", "pref", "auto", 0), ("a.num", "en", "rule 17", "alt", "auto", 1), ("a.ok", "en", "quick", "pref", "auto", 0), ("a.ok", "en", "fast", "alt", "auto", 1)],
+        "concept_id string, lang string, form string, kind string, policy string, ord int")
+    concepts = spark.createDataFrame([(f"a.{c}", "entity", "noun", "x", "core", "A") for c in ("near", "seen", "cut", "num", "ok")], "concept_id string, semantic_class string, pos string, definition string, contexts string, authority string")
+    engine = Engine(spark, docs(spark, "near\nis seen\npart of it\nrule 17\nfast"), forms=forms, concepts=concepts)
+    assert [r.verdict for r in engine.run("f_rewrite_safe").orderBy("seg_no").collect()] == ["antonym", "copula", "dangling", "protected", "safe"]
+    assert [r.canonical_text for r in engine.table("canonical").orderBy("seg_no").collect()] == ["near", "is seen", "part of it", "rule 17", "quick"]
+
+
+def test_amendments_of_a_users_own_tables(spark):
+    kind = "seq int, batch int, op string, concept_id string, lang string, form string, value string"
+    made = [(1, 1, "add_concept", "core.up", "en", "up", "above"), (2, 1, "link_broader", "core.up", "", "", "core.in"), (3, 2, "demote", "core.of", "en", "of", ""), (4, 2, "demote", "core.of", "en", "off", "")]
+    engine = Engine(spark, amendments=spark.createDataFrame(made, kind))
+    assert [(r.seq, r.fault) for r in engine.run("x_amend_refusals").collect()] == [(4, "unknown_form")]
+    forms = {(r.concept_id, r.form): r.policy for r in engine.run("x_amend").collect()}
+    assert forms["core.up", "up"] == "auto" and forms["core.of", "of"] == "auto"  # batch 2 is not written at all
+    assert ("core.up", "core.in") in {tuple(r) for r in engine.run("x_amend_links").collect()}
