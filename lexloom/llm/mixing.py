@@ -24,11 +24,13 @@ from lexloom.llm.common import Scratch, running_sum, sources
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
 BLOCK = 128
+#: Fewest cells in which slots look for their source.
+CELLS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words."""
-    return sources(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long")).alias("size"))
+    """doc_id, source, size in words, and text_hash, which tells rows of one doc_id apart that have different texts."""
+    return sources(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long")).alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -60,14 +62,20 @@ def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
     """slot, source, number: which block of which source each slot of the mix takes, slots from 0."""
     spark = goal.sparkSession
     ends = goal.select("source", "rank", F.sum("target").over(Window.orderBy("rank")).alias("upto"))
-    # One row: the sources are few, their bounds are one array; a slot finds its source by counting the bounds it passes.
-    bounds = ends.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "upto"))), lambda x: F.struct(x["source"].alias("source"), x["upto"].alias("upto"))).alias("ends"), F.max("upto").alias("all"))
-    slots = math.ceil((bounds.first()["all"] or 0.0) / block)
-    dealt = spark.range(slots).withColumnRenamed("id", "slot").crossJoin(F.broadcast(bounds))
+    number, total = ends.agg(F.count("*"), F.max("upto")).first()
+    total = total or 0.0
+    slots = math.ceil(total / block)
+    # Slots and sources meet by cells of the unit interval, of which there are a few for each source, so that a slot
+    # meets one source or two on average, however many sources there are and however unlike their targets.
+    cells = max(CELLS, 4 * number)
+    low = F.coalesce(F.lag("upto").over(Window.orderBy("rank")), F.lit(0.0))
+    cell = lambda x: F.floor(x / F.lit(total or 1.0) * cells)
+    bounds = ends.withColumn("low", low).where("low < upto")
+    bounds = bounds.select("source", "low", F.when(F.col("upto") < total, F.col("upto")).otherwise(F.lit(math.inf)).alias("upto"), F.explode(F.sequence(cell(F.col("low")) - 1, cell(F.col("upto")) + 1)).alias("cell"))
     point = (F.col("slot").cast("double") + 0.5) * F.lit(GOLDEN)
-    dealt = dealt.withColumn("point", (point - F.floor(point)) * F.col("all"))
-    passed = F.size(F.filter("ends", lambda x: x["upto"] <= F.col("point")))
-    dealt = dealt.select("slot", F.element_at("ends", F.least(passed + 1, F.size("ends"))).getField("source").alias("source"))
+    dealt = spark.range(slots).withColumnRenamed("id", "slot").withColumn("unit", point - F.floor(point))
+    dealt = dealt.select("slot", (F.col("unit") * total).alias("point"), F.floor(F.col("unit") * cells).alias("cell"))
+    dealt = dealt.join(bounds, "cell").where("low <= point and point < upto").select("slot", "source")
     return running_sum(dealt, ["source"], [F.col("slot")], F.shiftright("slot", 16), F.lit(1), "number")
 
 
@@ -76,7 +84,7 @@ def stream(sizes: DataFrame, seed: str = "mix") -> DataFrame:
     # Without a doc_id the digest of the empty id decides; what still ties is ordered by size.
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     ranked = sizes.withColumn("__digest", digest)
-    return running_sum(ranked, ["source"], [F.col("__digest"), F.col("doc_id"), F.col("size")], F.substring("__digest", 1, 3), F.col("size"), "start").drop("__digest")
+    return running_sum(ranked, ["source"], [F.col("__digest"), F.col("doc_id"), F.col("size"), F.col("text_hash")], F.substring("__digest", 1, 3), F.col("size"), "start").drop("__digest")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,11 +110,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, start, for every document."""
+    """doc_id, size, source_size, target, taken, source, start, text_hash, for every document."""
     placed, goal, parts = mix(docs, **options)
     # start tells the documents of a source apart, also those that share a doc_id
     sums = parts.groupBy("source", "start").agg(F.sum("words").alias("taken")).select(F.col("source").alias("__source"), F.col("start").alias("__start"), "taken")
     out = placed.join(goal.select(F.col("source").alias("__goal"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__goal")))
     mine = F.col("source").eqNullSafe(F.col("__source")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0)
     out = out.join(sums.hint("merge"), mine, "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "start")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "start", "text_hash")

@@ -26,7 +26,7 @@ def piece_model() -> bytes:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, sf_dir), n=2)
+    return minhash.near_duplicates(_documents(spark, sf_dir), n=2).drop("text_hash")
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(_documents(spark, sf_dir)).drop("source", "start")
+    return mixing.taken(_documents(spark, sf_dir)).drop("source", "start", "text_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
