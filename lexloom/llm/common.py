@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,15 +25,37 @@ def sources(table: DataFrame, *names: str) -> DataFrame:
     return table.select(*[F.col(f"`{n}`").alias(n) for n in names])
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or one with more underscores, that none of the columns has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def map_columns(table: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name, such as ones with points."""
+    plain = [f"c{k}" for k in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain)
+
+    kinds = T.StructType([T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, schema.fields)])
+    return table.toDF(*[f"c{k}" for k in range(len(table.columns))]).mapInArrow(renamed, kinds).toDF(*schema.names)
+
+
 class Scratch:
     """Tables under spark.checkpoint.dir, which every executor shares; each object has a folder of its own.
 
-    Where the setting is empty, as in local tests, a temporary folder takes its place.
+    Where the setting is empty, a temporary folder takes its place in local tests; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set")
             top = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         # Rows hold whole texts: fewer of them at a time keep what a worker holds small.
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:

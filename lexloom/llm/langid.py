@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Scratch, slices, sources
+from lexloom.llm.common import Scratch, map_columns, slices, sources
 
 #: Documents learned from per language, about; words; n-grams of each length; greatest length.
 PER_LANGUAGE, WORDS, GRAMS, LONGEST = 3000, 60_000, 40_000, 5
@@ -169,10 +169,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, n_words: int = WORDS,
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and lang_pred, score."""
+def predict(docs: DataFrame, model: Model, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs and the two added ones, which replace columns of their name."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    docs = sources(docs, *[c for c in docs.columns if c.lower() not in {a.lower() for a in added}])
     place = docs.columns.index("text")
     names = docs.columns
 
@@ -180,10 +181,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in slices(batches):
             got = [scorer.score(t) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
+    return map_columns(docs, run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

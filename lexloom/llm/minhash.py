@@ -104,6 +104,11 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (float(np.mean(a == b)) - COLLISION) / (1 - COLLISION))
 
 
+def text_hash() -> F.Column:
+    """Tells rows of one doc_id apart that have different texts."""
+    return F.xxhash64("text")
+
+
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -114,7 +119,7 @@ def _sketch(n: int):
                 sizes.append(len(s))
                 keys.append(key_of(s))
                 found.append(bands(registers(s)) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "bands"])
 
     return run
 
@@ -244,14 +249,14 @@ def links(docs: DataFrame, sketches: DataFrame, kept: Scratch, n: int, percent:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+    """doc_id, n_shingles, component_id, kept, and text_hash for every document."""
     kept = Scratch(docs.sparkSession, "minhash")
-    sketches = kept.save(sources(docs, "doc_id", "text").mapInArrow(_sketch(n), "doc_id long, n_shingles long, key string, bands array<long>"), "sketches")
+    sketches = kept.save(sources(docs, "doc_id", "text").withColumn("text_hash", text_hash()).mapInArrow(_sketch(n), "doc_id long, text_hash long, n_shingles long, key string, bands array<long>"), "sketches")
     found = links(docs, sketches, kept, n, percent)
     roots = components(found, kept)
-    rows = sketches.select("doc_id", "n_shingles", "key").join(roots.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left")
-    rows = kept.save(rows.select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root")), "rows")
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", "key").join(roots.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left")
+    rows = kept.save(rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "key").alias("root")), "rows")
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least.hint("merge"), "root", "left")
     of = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
+    return out.select("doc_id", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"), "text_hash")

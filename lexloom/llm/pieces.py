@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.anchors import by_size
-from lexloom.llm.common import sources
+from lexloom.llm.common import map_columns, sources
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     place = docs.columns.index("text")
     kept = [k for k, f in enumerate(docs.schema.fields) if k != place and f.name not in dict(ADDED)]
     schema = T.StructType([docs.schema.fields[k] for k in kept] + [T.StructField(*a) for a in ADDED])
-    return docs.mapInArrow(_run(model, place, kept, schema.names), schema)
+    return map_columns(docs, _run(model, place, kept, schema.names), schema)
 
 
 def digest(docs: DataFrame, model: bytes) -> DataFrame:

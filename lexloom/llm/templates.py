@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, bit_filter, in_filter, slices, sources, words_of
+from lexloom.llm.common import Scratch, bit_filter, fresh, in_filter, map_columns, slices, sources, words_of
 
 DEPTH, LEAST, SHARE = 3, 8, 0.8
 #: Fewest characters of a line that goes as an exact copy; what counts as white space around it.
@@ -163,16 +163,18 @@ def recurring(docs: DataFrame, kept: Scratch, least: int = LEAST, share: float =
     return kept.save(later.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "lost")
 
 
-def drop_templates(docs: DataFrame, least: int = LEAST, share: float = SHARE, exact: int = EXACT) -> DataFrame:
-    """The columns of docs, the text without its recurring lines, and n_lines, n_removed."""
+def drop_templates(docs: DataFrame, least: int = LEAST, share: float = SHARE, exact: int = EXACT, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The columns of docs, the text without its recurring lines, and the two added ones, which replace columns of their name."""
     from pyspark.sql import types as T
 
     kept = Scratch(docs.sparkSession, "templates")
-    lost = recurring(docs, kept, least, share, exact).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    joined = docs.join(lost.hint("merge"), docs["doc_id"].eqNullSafe(lost["__id"]), "left").drop("__id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    docs = sources(docs, *[c for c in docs.columns if c.lower() not in {a.lower() for a in added}])
+    own, lines = fresh(docs.columns, "__id"), fresh(docs.columns, "__lines")
+    lost = recurring(docs, kept, least, share, exact).select(F.col("doc_id").alias(own), F.col("lines").alias(lines))
+    joined = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(a, T.LongType()) for a in added]])
     names = joined.columns
-    return joined.mapInArrow(_edit(names.index("text"), names.index("__lines"), schema.names), schema)
+    return map_columns(joined, _edit(names.index("text"), names.index(lines), schema.names), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
