@@ -33,7 +33,7 @@ def canonical(p: str) -> None:
           FROM {m.t(p + 'auto_events')} AS v JOIN {m.t(p + 'segments')} AS g ON g.doc_id = v.doc_id AND g.seg_no = v.seg_no JOIN {m.t(p + 'seg_lang')} AS l ON l.doc_id = v.doc_id AND l.seg_no = v.seg_no
           LEFT JOIN {m.t('first_surface')} AS f ON f.concept_id = v.concept_id AND f.lang = CASE WHEN v.lang = 'shared' THEN l.language ELSE v.lang END"""
 
-    @derived(f"{p}judged")
+    @derived(f"{p}rewrites")
     def _(m):
         """Whether a rewrite keeps the sentence: no fragment, no lost copula, no change of one word for its opposite, no token of numbers, names or marks lost."""
         old, new = m.words("lower(original)"), m.words("lower(replacement)")
@@ -53,7 +53,7 @@ def canonical(p: str) -> None:
     @derived(f"{p}replaced")
     def _(m):
         """What each event is rewritten to: itself where the rewrite is not safe."""
-        return f"SELECT doc_id, seg_no, seg_start, s, e, key, concept_id, semantic_class, line, original, CASE WHEN verdict = 'safe' THEN replacement ELSE original END AS replacement FROM {m.t(p + 'judged')} AS j"
+        return f"SELECT doc_id, seg_no, seg_start, s, e, key, concept_id, semantic_class, line, original, CASE WHEN verdict = 'safe' THEN replacement ELSE original END AS replacement FROM {m.t(p + 'rewrites')} AS j"
 
     @derived(f"{p}canonical")
     def _(m):
@@ -100,12 +100,12 @@ def _(m):
 @query("f_mutates_protected")
 def _(m):
     """Events whose proposed rewrite would lose protected text that they hold."""
-    return f"SELECT doc_id, seg_no, s, e FROM {m.t('judged')} AS j WHERE verdict = 'protected'"
+    return f"SELECT doc_id, seg_no, s, e FROM {m.t('rewrites')} AS j WHERE verdict = 'protected'"
 
 
 @query("f_rewrite_safe")
 def _(m):
-    return f"SELECT doc_id, seg_no, s, e, verdict FROM {m.t('judged')} AS j"
+    return f"SELECT doc_id, seg_no, s, e, verdict FROM {m.t('rewrites')} AS j"
 
 
 def tokens_of(m, p=""):

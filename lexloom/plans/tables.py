@@ -14,11 +14,17 @@ DOCUMENTS = "documents"
 FOLD = "replace(lower({}), 'ß', 'ss')"
 
 
+def _add(name: str, spark, duck) -> None:
+    if name in SPARK:
+        raise ValueError(f"table {name} twice")
+    SPARK[name], DUCK[name] = spark, duck
+
+
 def table(name: str, duck):
     """Register the decorated DataFrame maker and its SQL."""
 
     def add(make):
-        SPARK[name], DUCK[name] = make, duck if callable(duck) else lambda m: duck
+        _add(name, make, duck if callable(duck) else lambda m: duck)
         return make
 
     return add
@@ -32,7 +38,7 @@ def derived(name: str, keep: bool = False):
     """Register a table whose text both engines take; with keep Spark writes it once for all uses in a plan."""
 
     def add(make):
-        SPARK[name], DUCK[name] = lambda m: stored(m.session.sql(make(m)), name) if keep else m.session.sql(make(m)), make
+        _add(name, lambda m: stored(m.session.sql(make(m)), name) if keep else m.session.sql(make(m)), make)
         return make
 
     return add
