@@ -34,22 +34,38 @@ LAST = (1 << 63) - 1
 HELD, BUCKET = 500_000, 16 << 20
 #: Bytes of text, and documents, whose results one task gathers.
 PART, PART_DOCS = 64 << 20, 400_000
-#: An anchor that more documents have is hot.
-HOT = 4096
+#: Windows that are hashed at a time.
+BLOCK = 1 << 15
+#: An anchor that more documents have is hot; one that still more have is crowded.
+HOT, CROWD = 4096, 1 << 18
+CROWD_BITS = 1 << 20
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    out = x >> np.uint64(32)
+    out ^= x
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _LEFT + b * _RIGHT)
+    out = a * _LEFT
+    out += b * _RIGHT
+    return mix(out)
 
 
 def windows(units: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each window of so many units, by doubling: two windows of one length side by side make one of twice it."""
+    """Hash of each window of so many units, a block of them at a time, so that all levels stay in the cache."""
+    out = np.empty(max(0, len(units) - length + 1), np.uint64)
+    for k in range(0, len(out), BLOCK):
+        out[k : k + BLOCK] = doubled(units[k : k + BLOCK + length - 1], length)
+    return out
+
+
+def doubled(units: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each window by doubling: two windows of one length side by side make one of twice it."""
     out, done, size, level = None, 0, 1, units
     while True:
         if length & size:
@@ -163,7 +179,7 @@ def _scan(kind: Kind, buckets: int, parts: int):
             value, at = [np.concatenate(x) for x in zip(*held)]
             held.clear()
             # one entry for each anchor and row
-            order = np.lexsort((at, value))
+            order = np.argsort(value, kind="stable")  # rows came in order
             value, at = value[order], at[order]
             new = np.ones(len(value), bool)
             new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1])
@@ -172,7 +188,7 @@ def _scan(kind: Kind, buckets: int, parts: int):
             count = np.diff(np.append(first, len(value)))
             several = np.repeat(count, count) > 1
             rows = [(1, None, part, None, None, None, None, None, data) for part, data in by_part(at[several], value[several], parts)]
-            value, at, count = value[first], np.where(count > 1, -1, at[first] - base), np.minimum(count, HOT + 1)
+            value, at, count = value[first], np.where(count > 1, -1, at[first] - base), np.minimum(count, CROWD + 1)
             bucket = (value % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")  # within a bucket the anchors stay sorted
             for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
@@ -205,7 +221,7 @@ _FOUND = {"part": pa.int64(), "packed": pa.binary()}
 
 
 def _meet(parts: int):
-    """Of a bucket's entries, those whose anchor another entry or document has, packed by part. Part -1: hot anchors."""
+    """Of a bucket's entries, those whose anchor another entry or document has, packed by part. Part -1: hot anchors, -2: crowded ones."""
 
     def run(table: pa.Table) -> pa.Table:
         values, rows, counts = [], [], []
@@ -221,8 +237,8 @@ def _meet(parts: int):
         size = np.diff(np.append(first, len(value)))
         sums = np.add.reduceat(count, first)
         on = (np.repeat(sums, size) > 1) & (at >= 0)
-        hot = value[first][sums > HOT]
-        out = [(-1, pack(hot))] if len(hot) else []
+        many = [(-1, value[first][sums > HOT]), (-2, value[first][sums > CROWD])]
+        out = [(part, pack(hot)) for part, hot in many if len(hot)]
         return pa.Table.from_batches([batch_of([*out, *by_part(at[on], value[on], parts)], _FOUND)])
 
     return run
@@ -284,6 +300,18 @@ def candidates(docs: DataFrame, kind: Kind, kept: Scratch) -> tuple[DataFrame, D
     return every.drop("row", "part"), shared, hot
 
 
+def crowd(kept: Scratch) -> np.ndarray:
+    """A filter that has all crowded anchors, after candidates()."""
+    met = kept.spark.read.schema("part long, packed binary").parquet(kept.path("met"))
+    return bit_filter(met.where("part = -2").select("packed").mapInArrow(_values, "key string"), CROWD_BITS)
+
+
+def among(value: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which anchors a filter lets pass."""
+    spot = (value % np.uint64(32 * len(bits))).astype(np.int64)
+    return (bits[spot >> 5] >> (spot & 31).astype(np.uint32) & np.uint32(1)) > 0
+
+
 def with_text(docs: DataFrame, kind: Kind, table: DataFrame) -> DataFrame:
     """The table's rows (by doc, tag) with the documents' texts, compressed. Only texts that may be asked for move."""
     key = F.lower(F.lpad(F.hex(F.xxhash64("doc", "tag")), 16, "0"))

@@ -4,12 +4,16 @@ Only sampled suffixes are sorted: those that start at the anchor of a 50-byte wi
 text too (see anchors.py). Windows in a row with one anchor make a region: the bytes from the anchor on, 50 at most,
 and the bytes before it, read backwards. Each task sorts its regions, keeps one of those that are all alike (its
 other documents lose theirs to the least), and sends a front-coded run to each bucket: for each region the length of
-the prefix it shares with the one before, and the rest. A bucket's runs are merged by a loser tree whose players carry
-the prefix they share with the last winner, so bytes are compared only past it. The merged order and its shared
+the prefix it shares with the one before, and the rest. A bucket's runs are merged eight bytes at a time, all runs at
+once: regions that agree so far are ordered by their next eight bytes alone, and only where these differ, so a known
+prefix is never compared again (``merged`` gives the same order key by key, by a loser tree). The order and its shared
 prefixes say which regions agree on any window; the least document of each window keeps it, all others lose it.
+Windows in a row that a region loses are sent as the first and the last, which cover the same bytes.
 
-Regions go to buckets by anchor. The windows of hot anchors, which more than ``anchors.HOT`` documents have, go one
-by one, to buckets by their content, so no bucket gathers what surrounds a passage of very many documents.
+Regions go to buckets by anchor. The windows of hot anchors, which more than ``anchors.HOT`` documents have, get a
+longer anchor (the least 40-byte window inside) and go to buckets by that, so what surrounds a passage of many
+documents is spread and still makes regions of several windows. Those of crowded anchors (over ``anchors.CROWD``
+documents) go one by one, by their content, so no bucket gathers more.
 
 Null and empty texts have no bytes; a null doc_id counts as greater than all others; rows that share a doc_id never
 remove bytes from each other. Texts are bytes in UTF-8: a kept text may be cut within a character.
@@ -30,7 +34,7 @@ from lexloom.llm import anchors
 from lexloom.llm.anchors import Kind
 from lexloom.llm.common import Scratch, slices
 
-SPAN, GRAM = 50, 20
+SPAN, GRAM, LONG = 50, 20, 40
 REACH = SPAN - GRAM
 #: A region as one key: what follows, its length, what precedes (backwards), its length.
 WIDTH = SPAN + 1 + REACH + 1
@@ -63,17 +67,30 @@ def first_least(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return joined(level[:short], level[n - size :][:short], at[:short], at[n - size :][:short])
 
 
+def first_places(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least of each n values in a row by their upper 48 bits, and the first place that has it.
+
+    The place within a block stands below those bits, so one minimum finds both.
+    """
+    value, at, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], (1 << 16) - n + 1
+    for k in range(0, len(values) - n + 1, step):
+        some = values[k : k + step + n - 1] & np.uint64(0xFFFFFFFFFFFF0000)
+        some |= np.arange(len(some), dtype=np.uint64)
+        found = anchors.least(some, n)
+        value.append(found >> np.uint64(16))
+        at.append((found & np.uint64(0xFFFF)).astype(np.int64) + k)
+    return np.concatenate(value), np.concatenate(at)
+
+
 def keys_of(data: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Keys (rows of WIDTH bytes) of regions whose first and last windows start at low and high."""
-    out = np.zeros((len(low), WIDTH), np.uint8)
+    out = np.empty((len(low), WIDTH), np.uint8)
     after, before = high + SPAN - anchor, anchor - low
-    for k in range(SPAN):
-        on = k < after
-        out[on, k] = data[anchor[on] + k]
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(SPAN, np.uint8)]), SPAN)
+    out[:, :SPAN] = ahead[anchor] * (np.arange(SPAN) < after[:, None])
     out[:, SPAN] = after
-    for k in range(REACH):
-        on = k < before
-        out[on, SPAN + 1 + k] = data[anchor[on] - 1 - k]
+    behind = np.lib.stride_tricks.sliding_window_view(np.concatenate([data[::-1], np.zeros(REACH, np.uint8)]), REACH)
+    out[:, SPAN + 1 : WIDTH - 1] = behind[len(data) - anchor] * (np.arange(REACH) < before[:, None])
     out[:, WIDTH - 1] = before + 1
     return out
 
@@ -104,6 +121,68 @@ def decoded(data: bytes) -> Iterator[tuple[bytes, int]]:
         yield key, common
 
 
+def matrix(runs: list[bytes]) -> np.ndarray:
+    """All keys of some runs, one row each."""
+    common, rest, n = [], [], 0
+    for data in runs:
+        plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        size = int.from_bytes(plain[:4].tobytes(), "little")
+        common.append(plain[4 : 4 + size])
+        rest.append(plain[4 + size :])
+        n += size
+    same, rest = np.concatenate(common), np.concatenate(rest)
+    ends = np.concatenate([[0], np.cumsum(WIDTH - same.astype(np.int64))])
+    out, column = np.empty((n, WIDTH), np.uint8), np.arange(WIDTH)
+    last = np.zeros((1, WIDTH), np.uint8)
+    # A byte that is shared is that of the last row which has its own; the row before a block stands at its head.
+    for k in range(0, n, 4096):
+        own = column >= same[k : k + 4096, None]
+        rows = len(own)
+        block = np.concatenate([last, np.zeros((rows, WIDTH), np.uint8)])
+        block[1:][own] = rest[ends[k] : ends[k + rows]]
+        source = np.zeros((rows + 1, WIDTH), np.int16)
+        source[1:] = np.where(own, np.arange(1, rows + 1, dtype=np.int16)[:, None], 0)
+        np.maximum.accumulate(source, axis=0, out=source)
+        out[k : k + rows] = block[source[1:], column]
+        last = out[k + rows - 1 : k + rows]
+    return out
+
+
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes (of equal ones the first comes first) and the prefix each shares with the one before.
+
+    Rows that agree so far are ordered by their next eight bytes, if these differ; what is before is not looked at again.
+    """
+    n, width = keys.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = keys
+    words = wide.view(">u8").T.astype(np.uint64, order="C")
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    tied = np.ones(n, bool)  # with the row before
+    tied[:1] = False
+    for k, word in enumerate(words):
+        at = np.flatnonzero(tied | np.append(tied[1:], False))
+        if not len(at):
+            break
+        group, value = np.cumsum(~tied)[at], word[order[at]]
+        inner = np.append(False, (group[1:] == group[:-1]) & (value[1:] != value[:-1]))
+        if not inner.any():
+            continue
+        split = np.zeros(int(group[-1]) + 1, bool)
+        split[group[inner]] = True
+        on = split[group]
+        at, group, value = at[on], group[on], value[on]
+        by = np.lexsort((value, group)) if k else np.argsort(value, kind="stable")
+        order[at], value = order[at[by]], value[by]
+        differ = np.append(False, (group[1:] == group[:-1]) & (value[1:] != value[:-1]))
+        place = np.flatnonzero(differ)
+        x = value[place] ^ value[place - 1]
+        common[at[place]] = 8 * k + sum((x < np.uint64(1 << b)).astype(np.int64) for b in range(8, 64, 8))
+        tied[at[place]] = False
+    common[tied] = width
+    return order, common
+
+
 def common_from(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two different keys, given that they share so much."""
     return WIDTH - ((int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")).bit_length() + 7) // 8
@@ -174,7 +253,7 @@ _DEALT = {"part": pa.int64(), "packed": pa.binary()}
 DEALT = "part long, packed binary"
 
 
-def _regions(buckets: int, parts: int, hot: np.ndarray):
+def _regions(buckets: int, parts: int, hot: np.ndarray, crowd: np.ndarray | None = None):
     """Rows of kind 1: places to remove, settled here, by part. 2: a front-coded run for a bucket, and its regions' documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +270,11 @@ def _regions(buckets: int, parts: int, hot: np.ndarray):
             new = np.ones(len(bucket), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]).any(axis=1)
             gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            # all windows of a region that a smaller document has too
-            count = (key[gone, SPAN].astype(np.int64) + key[gone, WIDTH - 1] - 1) - SPAN + 1
-            every = np.repeat(place[gone], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            rows = [(1, *s, None, None, None) for s in anchors.dealt(np.repeat(doc[gone], count), np.repeat(tag[gone], count), every, parts)]
+            # the first and the last window of a region that a smaller document has too
+            last = place[gone] + key[gone, SPAN].astype(np.int64) + key[gone, WIDTH - 1] - 1 - SPAN
+            more = last > place[gone]
+            every = [np.concatenate([x[gone], x[gone][more]]) for x in (doc, tag)] + [np.concatenate([place[gone], last[more]])]
+            rows = [(1, *s, None, None, None) for s in anchors.dealt(*every, parts)]
             bucket, key, doc, tag, place = [x[~gone] for x in (bucket, key, doc, tag, place)]
             for part in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
                 rows.append((2, None, None, int(bucket[part[0]]), front_coded(key[part]), anchors.pack(doc[part], tag[part], place[part].astype(np.int32))))
@@ -204,22 +284,28 @@ def _regions(buckets: int, parts: int, hot: np.ndarray):
         for batch in anchors.by_size(batches, 2, 1 << 17):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             hashed, sizes, plain = units(anchors.texts_of(batch.column(2)))
-            place, text, _ = KIND.anchors(hashed, sizes)
-            if not len(place):
-                continue
-            value, at = first_least(anchors.windows(hashed, GRAM), REACH + 1)
-            value, at = (value >> np.uint64(16))[place], at[place].astype(np.int64)
+            value, at = first_places(anchors.windows(hashed, GRAM), REACH + 1)
+            text = np.repeat(np.arange(len(sizes)), sizes)[: len(value)]
+            place = np.flatnonzero(np.arange(len(value)) + SPAN <= np.cumsum(sizes)[text])
+            text, value, at = text[place], value[place], at[place]
             on = anchors.marked(text, value, anchors.known(batch.column(3).to_pylist()))
             place, text, value, at = place[on], text[on], value[on], at[on]
             if not len(place):
                 continue
-            spot = (value % np.uint64(32 * len(hot))).astype(np.int64)
-            warm = (hot[spot >> 5] >> (spot & 31).astype(np.uint32) & np.uint32(1)) > 0
             bucket = (value % np.uint64(buckets)).astype(np.int64)
+            warm = anchors.among(value, hot)
+            single = warm & anchors.among(value, crowd) if crowd is not None else np.zeros(len(place), bool)
             if warm.any():
-                bucket[warm] = (anchors.windows(hashed, SPAN)[place[warm]] % np.uint64(buckets)).astype(np.int64)
+                # the bytes of these windows alone, put together
+                inside = anchors.covered(place[warm], SPAN, len(hashed))
+                some, spot = hashed[inside], (np.cumsum(inside) - 1)[place[warm]]
+                long, there = first_places(anchors.windows(some, LONG), SPAN - LONG + 1)
+                bucket[warm] = (long[spot] % np.uint64(buckets)).astype(np.int64)
+                at[warm] = place[warm] + there[spot] - spot
+                if single.any():
+                    bucket[single] = (anchors.windows(some, SPAN)[spot[single[warm]]] % np.uint64(buckets)).astype(np.int64)
             new = np.ones(len(place), bool)
-            new[1:] = (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1) | (text[1:] != text[:-1]) | warm[1:] | warm[:-1]
+            new[1:] = (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1) | (text[1:] != text[:-1]) | (warm[1:] != warm[:-1]) | single[1:] | single[:-1]
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(place)) - 1
             start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -250,44 +336,47 @@ def _merge(parts: int):
 
 def _later(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owners = [anchors.unpack(x, "i8", "i8", "i4") for x in table.column("owners").to_pylist()]
-    start = np.cumsum([0, *(len(o[0]) for o in owners)])
-    n = int(start[-1])
-    key, common, order = bytearray(), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    taken = start[:-1].tolist()
-    for k, (r, plain, same) in enumerate(merged([decoded(x) for x in table.column("run").to_pylist()])):
-        key += plain
-        common[k] = same
-        order[k] = taken[r]
-        taken[r] += 1
-    doc, tag, place = [np.concatenate(x)[order] for x in zip(*owners)]
-    keys = np.frombuffer(bytes(key), np.uint8).reshape(n, WIDTH)
+    doc, tag, place = [np.concatenate(x) for x in zip(*owners)]
+    keys, n = matrix(table.column("run").to_pylist()), len(doc)
+    order, common = ordered(keys)
+    doc, tag, place, keys = doc[order], tag[order], place[order].astype(np.int64), keys[order]
     after, before = keys[:, SPAN].astype(np.int64), keys[:, WIDTH - 1].astype(np.int64) - 1
     ahead = np.minimum(common, after)
     ahead[1:] = np.minimum(ahead[1:], after[:-1])
     ahead[:1] = 0
     # The same order for what precedes the anchors.
-    back = np.ascontiguousarray(keys[:, SPAN + 1 :])
-    by = np.argsort(back.view(f"S{back.shape[1]}").reshape(-1), kind="stable")
-    behind = np.zeros(n, np.int64)
-    behind[1:] = shared(back[by][1:], back[by][:-1])
+    by, behind = ordered(keys[:, SPAN + 1 :])
     behind = np.minimum(behind, before[by])
     behind[1:] = np.minimum(behind[1:], before[by][:-1])
-    gone: list[tuple[np.ndarray, ...]] = []
+    behind[:1] = 0
+    by_doc = np.argsort(doc, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_doc] = np.arange(n)
+    bits = max(1, n.bit_length())
+    gone = np.zeros((n, REACH + 3), bool)  # column x + 1: the window that starts x bytes before the anchor
     for x in range(REACH + 1):
         on = np.flatnonzero((after >= SPAN - x) & (before >= x))
         if len(on) < 2:
             continue
-        left = np.zeros(n, np.int64)
+        left = np.empty(n, np.int64)
         left[by] = classes(behind, x)
-        code = classes(ahead, SPAN - x)[on] * (n + 1) + left[on]
-        rank = np.lexsort((doc[on], code))
-        on, code = on[rank], code[rank]
+        right = classes(ahead, SPAN - x)
+        if 3 * bits <= 63:
+            # what agrees, then the document, as one number; the row follows from the rank of its document
+            code = np.sort(right[on] << 2 * bits | left[on] << bits | rank[on])
+            on, code = by_doc[code & (1 << bits) - 1], code >> bits
+        else:
+            code = right[on] * (n + 1) + left[on]
+            turn = np.lexsort((rank[on], code))
+            on, code = on[turn], code[turn]
         new = np.ones(len(on), bool)
         new[1:] = code[1:] != code[:-1]
-        later = on[doc[on] > doc[on[new]][np.cumsum(new) - 1]]
-        gone.append((doc[later], tag[later], place[later] + before[later] - x))
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(g) for g in zip(*gone)) if gone else (none, none, none)
+        least = doc[on[new]][np.cumsum(new) - 1]
+        gone[on[doc[on] > least], x + 1] = True
+    # Of windows in a row the first and the last: they cover what lies between, for REACH is less than SPAN.
+    edge = gone[:, 1:-1] & ~(gone[:, 2:] & gone[:, :-2])
+    row, x = np.nonzero(edge)
+    return doc[row], tag[row], place[row] + before[row] - x
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +400,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     size = every.agg(F.sum("n")).first()[0] or 0
     held = anchors.with_text(docs, KIND, repeats).select("doc", "tag", "text", "packed")
     parts = size // anchors.BUCKET + 1
-    found = kept.save(held.mapInArrow(_regions(parts, parts, hot), REGIONS), "regions")
+    crowd = anchors.crowd(kept)
+    found = kept.save(held.mapInArrow(_regions(parts, parts, hot, crowd), REGIONS), "regions")
     met = found.where("kind = 2").select("bucket", "run", "owners").groupBy("bucket").applyInArrow(_merge(parts), DEALT)
     places = found.where("kind = 1").select("part", "packed").unionByName(met).groupBy("part").applyInArrow(anchors.by_document, anchors.SPOTS)
     places = places.select("doc", "tag", F.array("places").alias("places"))

@@ -122,3 +122,70 @@ def test_places_by_part():
         want.setdefault((d, t), []).append(p)
     assert got == {k: sorted(v) for k, v in want.items()}
     assert anchors.dealt(*[np.zeros(0, np.int64)] * 3, 7) == []
+
+
+def held(texts):
+    """A batch as _regions gets it: all anchors of all texts are marked as repeating."""
+    rows = []
+    for k, text in enumerate(texts):
+        units, sizes, _ = suffix.units([text])
+        rows.append((k, k, anchors.zstandard.ZstdCompressor().compress(text.encode()), [anchors.pack(np.unique(suffix.KIND.anchors(units, sizes)[2]))]))
+    return anchors.batch_of(rows, {"doc": pa.int64(), "tag": pa.int64(), "text": pa.binary(), "packed": pa.list_(pa.binary())})
+
+
+def test_hot_windows_stay_together():
+    rng = random.Random(3)
+    batch = held(["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(5)])
+    full, none = np.full(1 << 8, 0xFFFFFFFF, np.uint32), np.zeros(1 << 8, np.uint32)
+    count = lambda *f: sum(len(anchors.unpack(r["owners"], "i8", "i8", "i4")[0]) for b in suffix._regions(4, 1, *f)(iter([batch])) for r in b.to_pylist() if r["kind"] == 2)
+    windows = 5 * (4000 - 50 + 1)
+    assert count(none) < windows / 10
+    assert count(full) < windows / 4
+    assert count(full, full) == windows
+
+
+def test_places_sent_do_not_grow_with_a_passage():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [r for b in suffix._regions(1, 1, np.zeros(8, np.uint32))(iter([held([text, "x" + text])])) for r in b.to_pylist()]
+    runs = pa.table({"bucket": [0], "run": [r["run"] for r in rows if r["kind"] == 2], "owners": [r["owners"] for r in rows if r["kind"] == 2]})
+    packed = [r["packed"] for r in rows if r["kind"] == 1] + suffix._merge(1)(runs).column("packed").to_pylist()
+    doc, tag, place = [np.concatenate(x) for x in zip(*[anchors.unpack(p, "i8", "i8", "i4") for p in packed])]
+    assert set(doc.tolist()) == {1} and len(place) < 3000 / 4
+    assert anchors.covered(place, 50, 3001).tolist() == [False] + [True] * 3000
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"\0a", bytes(range(256))])
+def test_merge_by_words(alphabet):
+    rng = random.Random(6)
+    runs, plain = [], []
+    for _ in range(9):
+        keys = sorted({bytes(rng.choice(alphabet) for _ in range(rng.choice((1, 9, 60)))).rjust(suffix.WIDTH, rng.choice(("a", "b")).encode()) for _ in range(rng.randrange(1, 900))})
+        runs.append(suffix.front_coded(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, suffix.WIDTH)))
+        plain += keys
+    keys = suffix.matrix(runs)
+    assert [k.tobytes() for k in keys] == plain
+    order, common = suffix.ordered(keys)
+    want = list(suffix.merged([suffix.decoded(r) for r in runs]))
+    assert [keys[k].tobytes() for k in order] == [k for _, k, _ in want] and common[1:].tolist() == [c for _, _, c in want][1:]
+    start = np.cumsum([0, *(len(list(suffix.decoded(r))) for r in runs)])
+    assert (np.searchsorted(start, order, "right") - 1).tolist() == [r for r, _, _ in want]
+
+
+def test_first_places():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 9, 200_000).astype(np.uint64) << np.uint64(16)
+    values[70_000:140_000] = 0  # ties over the edge of a block
+    for n in (1, 11, 31):
+        low, at = suffix.first_least(values, n)
+        value, there = suffix.first_places(values, n)
+        assert (value == low >> np.uint64(16)).all() and (there == at).all()
+
+
+def test_bytes_of_crowded_anchors(spark, docs, odd, monkeypatch):
+    full, found = np.full(1 << 15, 0xFFFFFFFF, np.uint32), anchors.candidates
+    monkeypatch.setattr(anchors, "candidates", lambda *a: (*found(*a)[:2], full))
+    monkeypatch.setattr(anchors, "crowd", lambda kept: full)
+    rows = made(odd)
+    got = rows_of(suffix.dedup(docs(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute_bytes(rows), key=str)
