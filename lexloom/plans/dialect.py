@@ -18,6 +18,7 @@ class Spark:
 
     def __init__(self, session: SparkSession, sf_dir: str, tables: dict[str, Callable]) -> None:
         self.session, self.sf_dir, self.tables, self.frames = session, sf_dir, tables, {}
+        self._keys = None
 
     def frame(self, name: str) -> DataFrame:
         if name not in self.frames:
@@ -30,6 +31,15 @@ class Spark:
         self.frame(name).createOrReplaceTempView(view)
         return view
 
+    def keys(self):
+        """The lexicon as constants, read once for a plan."""
+        if self._keys is None:
+            from lexloom.operators import normalize
+
+            words = {r["word"] for name in ("function_words", "hedges") for r in self.frame(name).select("word").distinct().collect()}
+            self._keys = normalize.Keys(self.frame("matcher"), self.frame("forbidden"), [w for w in words if w is not None])
+        return self._keys
+
     def size(self, x): return f"size({x})"
     def join(self, x, sep=" "): return f"array_join({x}, '{sep}')"
     def all_of(self, x, by=None, sep=","):
